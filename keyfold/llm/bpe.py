@@ -81,11 +81,12 @@ class Merges:
 
     def merged(self, symbols: list[str]) -> list[str]:
         """Apply the merge list: the lowest rank first, the leftmost of equals."""
-        rank = self.rank
+        rank, never = self.rank.get, len(self.rank)
         while len(symbols) > 1:
-            at = min(range(len(symbols) - 1), key=lambda i: rank.get((symbols[i], symbols[i + 1]), 1 << 60))
-            if (symbols[at], symbols[at + 1]) not in rank:
+            ranks = [rank(p, never) for p in zip(symbols, symbols[1:])]
+            if (least := min(ranks)) == never:
                 break
+            at = ranks.index(least)
             symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
         return symbols
 
