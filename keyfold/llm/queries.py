@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyfold.llm import bpe, secret_scan
+from keyfold.llm import bpe, decontaminate, line_dedup, secret_scan, simhash
 
 #: Where the public tokenizers' files are found on the executors.
 TOKENIZERS = "/opt/tokenizers"
@@ -19,14 +19,77 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(_table(spark, sf_dir, "documents"))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, budget=2)
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_pages(_table(spark, sf_dir, "pages"))
+    return out.select("page_id", "host", "n_lines", "n_dropped", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
+OP7_SQL = """
+WITH raw AS (
+  SELECT page_id, coalesce(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)', 1)), '') AS host,
+    list_filter(list_transform(regexp_split_to_array(
+      regexp_replace(coalesce(html, ''), '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', chr(10), 'g'),
+      '(?:<[^>]*>|\n)+'), lambda x: trim(x, ' ' || chr(9) || chr(11) || chr(12) || chr(13) || chr(160))), lambda x: x <> '') AS lines
+  FROM pages),
+p AS (SELECT row_number() OVER () AS row_id, * FROM raw),
+hosts AS (SELECT host, count(*) AS pages FROM p WHERE host <> '' GROUP BY host),
+shares AS (
+  SELECT host, line, count(*) AS n
+  FROM (SELECT DISTINCT row_id, host, unnest(lines) AS line FROM p WHERE host <> '') GROUP BY host, line),
+common AS (SELECT host, line FROM shares JOIN hosts USING (host) WHERE n >= 3 AND n > 0.1 * pages),
+kept AS (
+  SELECT l.row_id, l.i, l.line FROM (SELECT row_id, host, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM p) l
+  LEFT JOIN common c ON c.host = l.host AND c.line = l.line WHERE c.line IS NULL),
+texts AS (SELECT row_id, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS text FROM kept GROUP BY row_id)
+SELECT page_id, host, len(lines)::BIGINT AS n_lines, (len(lines) - coalesce(n, 0))::BIGINT AS n_dropped,
+  length(coalesce(text, ''))::BIGINT AS n_chars, sha256(coalesce(text, '')) AS text_sha256
+FROM p LEFT JOIN texts USING (row_id)
+"""
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+OP10_SQL = """
+WITH d AS (
+  SELECT row_number() OVER () AS row_id, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+b AS (
+  SELECT item_id, regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+wins AS (
+  SELECT DISTINCT item_id, least(len(w), 13) AS n, array_to_string(w[i : i + 12], ' ') AS win
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM wins),
+places AS (
+  SELECT row_id, n, i, array_to_string(w[i : i + n - 1], ' ') AS win
+  FROM (SELECT row_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n)),
+found AS (SELECT row_id, p.n, i, item_id FROM places p JOIN wins USING (n, win)),
+hit AS (SELECT row_id, count(*) AS n_hit FROM (SELECT DISTINCT row_id, unnest(range(i, i + n)) AS pos FROM found) GROUP BY row_id),
+items AS (
+  SELECT row_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT row_id, item_id::VARCHAR AS item FROM found) GROUP BY row_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hit USING (row_id) LEFT JOIN items USING (row_id)
+"""
+
+
 def queries():
-    own = (op2_secret_scan, op8_bpe)
+    own = (op2_secret_scan, op6_simhash, op7_line_dedup, op8_bpe, op10_decontaminate)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql():
-    return {}
+    return {"op7_line_dedup": OP7_SQL, "op10_decontaminate": OP10_SQL}
