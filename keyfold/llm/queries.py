@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyfold.llm import bpe, decontaminate, line_dedup, secret_scan, simhash
+from keyfold.llm import bpe, decontaminate, line_dedup, secret_scan, simhash, toxicity
 
 #: Where the public tokenizers' files are found on the executors.
 TOKENIZERS = "/opt/tokenizers"
@@ -19,6 +19,10 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(_table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, budget=2)
 
@@ -87,7 +91,7 @@ FROM d LEFT JOIN hit USING (row_id) LEFT JOIN items USING (row_id)
 
 
 def queries():
-    own = (op2_secret_scan, op6_simhash, op7_line_dedup, op8_bpe, op10_decontaminate)
+    own = (op2_secret_scan, op5_toxicity, op6_simhash, op7_line_dedup, op8_bpe, op10_decontaminate)
     return {f.__name__: f for f in own}
 
 
