@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyfold.llm import bpe, decontaminate, line_dedup, secret_scan, simhash, toxicity
+import corpus_pipeline
+from keyfold.llm import bpe, decontaminate, knn, line_dedup, secret_scan, simhash, toxicity
 
 #: Where the public tokenizers' files are found on the executors.
 TOKENIZERS = "/opt/tokenizers"
@@ -15,6 +16,22 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+OP1_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+FROM s QUALIFY rank <= 10
+"""
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(_table(spark, sf_dir, "documents"))
 
@@ -91,9 +108,9 @@ FROM d LEFT JOIN hit USING (row_id) LEFT JOIN items USING (row_id)
 
 
 def queries():
-    own = (op2_secret_scan, op5_toxicity, op6_simhash, op7_line_dedup, op8_bpe, op10_decontaminate)
-    return {f.__name__: f for f in own}
+    own = (op1_knn, op2_secret_scan, op5_toxicity, op6_simhash, op7_line_dedup, op8_bpe, op10_decontaminate)
+    return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql():
-    return {"op7_line_dedup": OP7_SQL, "op10_decontaminate": OP10_SQL}
+    return {"op1_knn": OP1_SQL, "op7_line_dedup": OP7_SQL, "op10_decontaminate": OP10_SQL}
