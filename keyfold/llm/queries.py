@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import uuid
+
 import corpus_pipeline
-from keyfold.llm import bpe, decontaminate, knn, line_dedup, pii, secret_scan, simhash, toxicity
+from keyfold.llm import bpe, decontaminate, knn, license_scan, line_dedup, pii, rollup, secret_scan, simhash, toxicity
+from keyfold.llm.shared import shared_dir, written
 
 #: Where the public tokenizers' files are found on the executors.
 TOKENIZERS = "/opt/tokenizers"
@@ -36,6 +39,45 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(_table(spark, sf_dir, "documents"))
 
 
+def op3_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents are inserted under two tokenizer versions; those labelled of low quality are deleted; toxic ones are redacted, which revises their counts to zero; one batch is sent twice."""
+    counts = written(rollup.counted(_table(spark, sf_dir, "documents")), "counts")
+    labels = _table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("id")).agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    marked = counts.join(labels.filter("quality = 0 OR toxic = 1"), "id")
+    low = rollup.by_version(marked.filter("quality = 0"))
+    toxic = rollup.by_version(marked.filter("quality <> 0 OR quality IS NULL")).withColumn("new_tokens", F.lit(0))
+    table = rollup.Rollup(spark, f"{shared_dir(spark)}/rollup-{uuid.uuid4().hex}")
+    every = rollup.inserted(rollup.by_version(counts))
+    table.commit("1", every.filter("version = 'words-1'"))
+    table.commit("2", every.filter("version = 'wordpunct-1'"))
+    table.compact()
+    table.commit("2", every.filter("version = 'wordpunct-1'"))
+    table.commit("3", rollup.deleted(low))
+    table.commit("4", rollup.revised(toxic))
+    table.commit("3", rollup.deleted(low))
+    return table.totals()
+
+
+OP3_SQL = """
+WITH n AS (
+  SELECT doc_id, source, lang,
+    len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> ''))::BIGINT AS w,
+    (len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'), lambda x: x <> ''))
+      + len(regexp_extract_all(coalesce(text, ''), '[\\x21-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7E]')))::BIGINT AS p
+  FROM documents),
+l AS (SELECT doc_id, min(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id),
+kept AS (
+  SELECT source, lang, CASE WHEN toxic = 1 THEN 0 ELSE w END AS w, CASE WHEN toxic = 1 THEN 0 ELSE p END AS p
+  FROM n LEFT JOIN l USING (doc_id) WHERE quality IS NULL OR quality <> 0),
+versions AS (SELECT source, lang, 'words-1' AS version, w AS n FROM kept UNION ALL SELECT source, lang, 'wordpunct-1', p FROM kept)
+SELECT source, lang, version, count(*)::BIGINT AS docs, sum(n)::BIGINT AS tokens FROM versions GROUP BY ALL
+"""
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -117,9 +159,9 @@ FROM d LEFT JOIN hit USING (row_id) LEFT JOIN items USING (row_id)
 
 
 def queries():
-    own = (op1_knn, op2_secret_scan, op5_toxicity, op6_simhash, op7_line_dedup, op8_bpe, op9_pii, op10_decontaminate)
+    own = (op1_knn, op2_secret_scan, op3_token_rollup, op4_license_scan, op5_toxicity, op6_simhash, op7_line_dedup, op8_bpe, op9_pii, op10_decontaminate)
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql():
-    return {"op1_knn": OP1_SQL, "op7_line_dedup": OP7_SQL, "op10_decontaminate": OP10_SQL}
+    return {"op1_knn": OP1_SQL, "op3_token_rollup": OP3_SQL, "op7_line_dedup": OP7_SQL, "op10_decontaminate": OP10_SQL}
