@@ -1,11 +1,491 @@
-"""Queries over the generated tables and their DuckDB equivalents."""
+"""Registered queries over the generated tables and their DuckDB equivalents."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 
-def queries():
-    return {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from keyfold import schema
+from keyfold.functions import expressions as X
+from keyfold.operators import fold, kv, vector
+from keyfold.plans import tables as T
+from keyfold.sources import command_log, snapshot
+from keyfold.streaming import replay
 
-def oracle_sql():
-    return {}
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
+
+#: Milliseconds of the event clock at which states are taken.
+NOW = T.EVENT_CLOCK
+
+# SQL for the tables as keyspaces, log and vectors
+KV_SQL = """
+kv AS (
+  SELECT 'array' AS engine, 'cust:' || c_custkey AS key, c_name AS value, NULL::BIGINT AS expire_ms FROM customer
+  UNION ALL SELECT 'rbtree', 'part:' || p_partkey, p_name, NULL FROM part
+  UNION ALL SELECT 'hash', 'supp:' || s_suppkey, s_name, NULL FROM supplier
+  UNION ALL SELECT 'skiplist', 'order:' || o_orderkey, o_orderpriority,
+    CASE WHEN o_orderkey % 3 <> 0 THEN epoch_ms(o_orderdate) + (o_orderkey % 30) * 86400000 END FROM orders)
+"""
+LOG_SQL = """
+log AS (
+  SELECT event_id AS seq, epoch_us(ts) // 1000 AS ts_ms, user_id::VARCHAR AS key, value::VARCHAR AS value,
+    (event_id % 7 + 1) * 3600000 AS ttl_ms,
+    CASE event_type WHEN 'click' THEN 'SET' WHEN 'view' THEN 'GET' WHEN 'purchase' THEN 'SETEX' WHEN 'signup' THEN 'EXPIRE'
+      ELSE CASE event_id % 4 WHEN 0 THEN 'DEL' WHEN 1 THEN 'MOD' WHEN 2 THEN 'EXIST' ELSE 'TTL' END END AS op
+  FROM events)
+"""
+VEC_SQL = """
+v AS (
+  SELECT 'vec:' || vec_id AS question, 'label:' || label AS answer, embedding AS vector, vec_id AS seq,
+    sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS norm
+  FROM embeddings)
+"""
+
+
+def fold_sql(mode: str, where: str = "true") -> str:
+    """The replay of a log in one mode, as common table expressions that end with ``f``."""
+    removes = ", ".join(f"'{op}'" for op in schema.REMOVES[mode])
+    logical = " AND coalesce(lag(exp) OVER k > ts_ms, true)" if mode == "logical" else ""
+    frame = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+    earlier = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    return f"""
+{LOG_SQL},
+s AS (
+  SELECT *, sum(CASE WHEN op IN ('SET', 'SETEX', 'DEL') THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY ts_ms, seq {frame}) AS seg
+  FROM log WHERE {where}),
+r AS (
+  SELECT *,
+    first_value(op) OVER u IN ('SET', 'SETEX') AS stored,
+    last_value(CASE WHEN op IN ('SET', 'SETEX', 'MOD') THEN value END IGNORE NULLS) OVER u AS val,
+    last_value(CASE WHEN op IN ('SETEX', 'EXPIRE') THEN ts_ms + ttl_ms END IGNORE NULLS) OVER u AS exp,
+    last_value(CASE WHEN op IN ('SETEX', 'EXPIRE') THEN ts_ms + ttl_ms END IGNORE NULLS) OVER b AS exp_b
+  FROM s WINDOW u AS (PARTITION BY key, seg ORDER BY ts_ms, seq {frame}), b AS (PARTITION BY key, seg ORDER BY ts_ms, seq {earlier})),
+g AS (SELECT *, op IN ({removes}) AND coalesce(exp_b <= ts_ms, false) AS gone FROM r),
+d AS (
+  SELECT *, stored AND NOT coalesce(bool_or(gone) OVER (PARTITION BY key, seg ORDER BY ts_ms, seq {earlier}), false) AS present FROM g),
+f AS (
+  SELECT *, present AND NOT gone AS present_after, present AND coalesce(exp_b > ts_ms, true) AS alive,
+    coalesce(lag(present AND NOT gone) OVER k, false){logical} AS was
+  FROM d WINDOW k AS (PARTITION BY key ORDER BY ts_ms, seq))
+"""
+
+
+def replies_sql(mode: str) -> str:
+    strict = "alive" if mode == "logical" else "present"
+    may = "alive" if mode in schema.MOD_NEEDS_LIVE else "present"
+    return f"""CASE
+    WHEN op IN ('SET', 'SETEX') THEN 'OK'
+    WHEN op = 'GET' THEN CASE WHEN alive THEN val END
+    WHEN op = 'EXIST' THEN alive::INT::VARCHAR
+    WHEN op = 'TTL' THEN CASE WHEN NOT {strict} THEN '-2' WHEN exp_b IS NULL THEN '-1'
+      ELSE ceil(greatest(exp_b - ts_ms, 0) / 1000)::BIGINT::VARCHAR END
+    WHEN op = 'MOD' THEN CASE WHEN {may} THEN 'OK' ELSE 'ERR no such key' END
+    WHEN op = 'EXPIRE' THEN {strict}::INT::VARCHAR
+    WHEN op = 'DEL' THEN was::INT::VARCHAR END"""
+
+
+def query(sql: str | None = None, name: str | None = None):
+    """Register a query, with its oracle if there is one."""
+
+    def add(f):
+        QUERIES[name or f.__name__] = f
+        if sql is not None:
+            ORACLES[name or f.__name__] = sql
+        return f
+
+    return add
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/keyfold"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+# ---- point commands over static keyspaces
+
+
+@query("SELECT 'PONG' AS reply")
+def ping(spark, sf_dir):
+    return spark.range(1).select(F.lit("PONG").alias("reply"))
+
+
+def _probes(spark, sf_dir) -> DataFrame:
+    """One hit and one miss for every order."""
+    orders = T.table(spark, sf_dir, "orders")
+    keys = F.array(F.col("o_custkey"), F.col("o_custkey") + 1_000_000)
+    return orders.select("o_orderkey", F.explode(keys).alias("n")).select("o_orderkey", F.concat(F.lit("cust:"), F.col("n").cast("string")).alias("key"))
+
+
+PROBES_SQL = "p AS (SELECT o_orderkey, 'cust:' || unnest([o_custkey, o_custkey + 1000000]) AS key FROM orders)"
+
+
+@query(f"WITH {KV_SQL}, {PROBES_SQL} SELECT o_orderkey, key, value FROM p LEFT JOIN (SELECT * FROM kv WHERE engine = 'array') USING (key)")
+def kv_get(spark, sf_dir):
+    return kv.get(_probes(spark, sf_dir), T.keyspace(spark, sf_dir, "array"), T.ORDER_CLOCK).select("o_orderkey", "key", "value")
+
+
+@query(f"WITH {KV_SQL}, {PROBES_SQL} SELECT o_orderkey, key FROM p WHERE NOT EXISTS (SELECT 1 FROM kv WHERE engine = 'array' AND kv.key = p.key)")
+def kv_get_miss(spark, sf_dir):
+    return kv.missing(_probes(spark, sf_dir), T.keyspace(spark, sf_dir, "array"), T.ORDER_CLOCK).select("o_orderkey", "key")
+
+
+ORDER_PROBES_SQL = "p AS (SELECT 'order:' || unnest([l_orderkey, l_orderkey + 100000000]) AS key, l_linenumber AS line FROM lineitem)"
+
+
+def _order_probes(spark, sf_dir) -> DataFrame:
+    keys = F.explode(F.array(F.col("l_orderkey"), F.col("l_orderkey") + 100_000_000))
+    rows = T.table(spark, sf_dir, "lineitem").select(keys.alias("n"), F.col("l_linenumber").alias("line"))
+    return rows.select(F.concat(F.lit("order:"), F.col("n").cast("string")).alias("key"), "line")
+
+
+@query(f"""WITH {KV_SQL}, {ORDER_PROBES_SQL} SELECT key, line, (kv.key IS NOT NULL AND (expire_ms IS NULL OR expire_ms > {T.ORDER_CLOCK}))::INT AS exist
+FROM p LEFT JOIN kv USING (key)""")
+def kv_exist(spark, sf_dir):
+    return kv.exist(_order_probes(spark, sf_dir), T.keyspace(spark, sf_dir, "skiplist"), T.ORDER_CLOCK)
+
+
+@query(f"""WITH {KV_SQL}, {ORDER_PROBES_SQL} SELECT key, line, CASE WHEN engine IS NULL THEN -2 WHEN expire_ms IS NULL THEN -1
+  ELSE ceil(greatest(expire_ms - {T.ORDER_CLOCK}, 0) / 1000)::BIGINT END::BIGINT AS ttl FROM p LEFT JOIN kv USING (key)""")
+def kv_ttl(spark, sf_dir):
+    return kv.ttl(_order_probes(spark, sf_dir), T.keyspace(spark, sf_dir, "skiplist"), T.ORDER_CLOCK)
+
+
+@query(f"""WITH {KV_SQL}, w AS (SELECT 'cust:' || o_custkey AS key, arg_max(o_orderpriority, o_orderkey) AS value FROM orders GROUP BY 1)
+SELECT 'array' AS engine, key, coalesce(w.value, kv.value) AS value, NULL::BIGINT AS expire_ms FROM (SELECT * FROM kv WHERE engine = 'array') kv FULL JOIN w USING (key)""")
+def kv_set_upsert(spark, sf_dir):
+    writes = T.table(spark, sf_dir, "orders").select(
+        F.lit("array").alias("engine"), F.concat(F.lit("cust:"), F.col("o_custkey").cast("string")).alias("key"), F.col("o_orderpriority").alias("value"), F.lit(None).cast("long").alias("expire_ms"), F.col("o_orderkey").alias("seq")
+    )
+    return kv.upsert(T.keyspace(spark, sf_dir, "array"), writes)
+
+
+@query(f"""WITH {KV_SQL}, w AS (SELECT 'cust:' || o_custkey AS key, max(epoch_ms(o_orderdate)) AS t, arg_max(o_orderstatus, o_orderkey) AS value FROM orders GROUP BY 1)
+SELECT 'array' AS engine, key, coalesce(w.value, kv.value) AS value, t + 60000 AS expire_ms FROM (SELECT * FROM kv WHERE engine = 'array') kv FULL JOIN w USING (key)""")
+def kv_setex(spark, sf_dir):
+    orders = T.table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.max(X.millis(F.col("o_orderdate"))).alias("at"), F.max_by("o_orderstatus", "o_orderkey").alias("value"))
+    writes = orders.select(F.lit("array").alias("engine"), F.concat(F.lit("cust:"), F.col("o_custkey").cast("string")).alias("key"), "value", (F.col("at") + 60_000).alias("expire_ms"), F.lit(1).cast("long").alias("seq"))
+    return kv.upsert(T.keyspace(spark, sf_dir, "array"), writes)
+
+
+@query(f"""WITH {KV_SQL} SELECT engine, key, coalesce(w.value, kv.value) AS value, expire_ms
+FROM (SELECT * FROM kv WHERE engine = 'rbtree') kv LEFT JOIN (SELECT 'part:' || l_partkey AS key, max(l_shipdate)::DATE::VARCHAR AS value FROM lineitem WHERE l_quantity > 45 GROUP BY 1) w USING (key)""")
+def kv_mod(spark, sf_dir):
+    changes = T.table(spark, sf_dir, "lineitem").filter("l_quantity > 45").groupBy("l_partkey").agg(F.max("l_shipdate").cast("date").cast("string").alias("new_value"))
+    changes = changes.select(F.concat(F.lit("part:"), F.col("l_partkey").cast("string")).alias("key"), "new_value")
+    return kv.modify(T.keyspace(spark, sf_dir, "rbtree"), changes)
+
+
+@query(f"WITH {KV_SQL} SELECT * FROM kv WHERE engine = 'hash' AND key NOT IN (SELECT 'supp:' || s_suppkey FROM supplier WHERE s_acctbal < 0)")
+def kv_del(spark, sf_dir):
+    gone = T.table(spark, sf_dir, "supplier").filter("s_acctbal < 0").select(F.concat(F.lit("supp:"), F.col("s_suppkey").cast("string")).alias("key"))
+    return kv.delete(T.keyspace(spark, sf_dir, "hash"), gone)
+
+
+@query(f"""WITH {KV_SQL} SELECT engine, key, value, CASE WHEN s IS NOT NULL THEN {T.ORDER_CLOCK} + s * 1000 ELSE expire_ms END AS expire_ms
+FROM (SELECT * FROM kv WHERE engine = 'skiplist') kv LEFT JOIN (SELECT 'order:' || l_orderkey AS key, sum(l_quantity)::BIGINT AS s FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) w USING (key)""")
+def kv_expire(spark, sf_dir):
+    changes = T.table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").groupBy("l_orderkey").agg(F.sum("l_quantity").cast("long").alias("seconds"))
+    changes = changes.select(F.concat(F.lit("order:"), F.col("l_orderkey").cast("string")).alias("key"), "seconds")
+    return kv.expire(T.keyspace(spark, sf_dir, "skiplist"), changes, T.ORDER_CLOCK)
+
+
+@query(f"WITH {KV_SQL} SELECT engine, key, value, expire_ms FROM kv WHERE expire_ms <= {T.ORDER_CLOCK}")
+def expired_scan(spark, sf_dir):
+    return kv.expired(T.all_keyspaces(spark, sf_dir), T.ORDER_CLOCK)
+
+
+@query(f"WITH {KV_SQL} SELECT key, value FROM kv WHERE engine = 'rbtree' ORDER BY key")
+def ordered_scan(spark, sf_dir):
+    return T.keyspace(spark, sf_dir, "rbtree").select("key", "value").orderBy("key")
+
+
+@query(f"WITH {KV_SQL} SELECT engine, min(key) AS first_key, max(key) AS last_key FROM kv WHERE engine IN ('rbtree', 'skiplist') GROUP BY engine")
+def first_last_key(spark, sf_dir):
+    rows = T.keyspace(spark, sf_dir, "rbtree").unionByName(T.keyspace(spark, sf_dir, "skiplist"))
+    return rows.groupBy("engine").agg(F.min("key").alias("first_key"), F.max("key").alias("last_key"))
+
+
+@query(f"WITH {KV_SQL} SELECT key, lead(key) OVER (ORDER BY key) AS next_key FROM kv WHERE engine = 'rbtree'")
+def key_successor(spark, sf_dir):
+    """Each key's successor. Keys are dealt by range; a range's last key takes the first key of the next range that has any, so no task holds all keys."""
+    rows = T.keyspace(spark, sf_dir, "rbtree").select("key")
+    ranged = rows.repartitionByRange("key").withColumn("part", F.spark_partition_id()).persist()
+    firsts = ranged.groupBy("part").agg(F.min("key").alias("first_key"))
+    nexts = firsts.select("part", F.lead("first_key").over(Window.orderBy("part")).alias("next_first"))
+    inside = ranged.withColumn("inner", F.lead("key").over(Window.partitionBy("part").orderBy("key")))
+    return inside.join(F.broadcast(nexts), "part").select("key", F.coalesce("inner", "next_first").alias("next_key"))
+
+
+@query(f"""WITH {KV_SQL}
+SELECT (list_sum(list_transform(range(1, length(key) + 1), lambda i: ascii(substring(key, i, 1)))) % 1024)::INT AS bucket, count(*)::BIGINT AS n FROM kv WHERE engine = 'hash' GROUP BY 1""")
+def hash_bucket_histogram(spark, sf_dir):
+    return T.keyspace(spark, sf_dir, "hash").groupBy(X.byte_sum(F.col("key")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {KV_SQL}, {VEC_SQL} SELECT engine, count(*)::BIGINT AS n FROM kv GROUP BY engine UNION ALL SELECT 'vector', count(*)::BIGINT FROM v")
+def engine_counts(spark, sf_dir):
+    rows = T.all_keyspaces(spark, sf_dir).select("engine").union(T.vectors(spark, sf_dir).select(F.lit("vector")))
+    return rows.groupBy("engine").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---- replay
+
+
+def _replay(mode: str):
+    def run(spark, sf_dir):
+        return fold.replies(T.command_log(spark, sf_dir), mode).select("seq", "op", "key", "reply")
+
+    return run
+
+
+def _state(mode: str):
+    def run(spark, sf_dir):
+        return fold.state(T.command_log(spark, sf_dir), NOW, mode).select("key", "value", "expire_ms")
+
+    return run
+
+
+for _mode in (*schema.ENGINES, "logical"):
+    query(f"WITH {fold_sql(_mode)} SELECT seq, op, key, {replies_sql(_mode)} AS reply FROM f", f"replay_{_mode}")(_replay(_mode))
+    query(
+        f"""WITH {fold_sql(_mode, f"ts_ms <= {NOW}")}
+SELECT key, val AS value, exp AS expire_ms FROM (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY key ORDER BY ts_ms DESC, seq DESC) = 1)
+WHERE present_after AND (exp IS NULL OR exp > {NOW})""",
+        f"state_{_mode}",
+    )(_state(_mode))
+
+
+def _mixed_log(spark, sf_dir) -> DataFrame:
+    """The same commands sent to all four keyspaces."""
+    log = T.command_log(spark, sf_dir).drop("engine")
+    return log.withColumn("engine", F.explode(F.array(*map(F.lit, schema.ENGINES))))
+
+
+@query(" UNION ALL ".join(f"SELECT * FROM (WITH {fold_sql(m)} SELECT '{m}' AS engine, seq, op, key, {replies_sql(m)} AS reply FROM f)" for m in schema.ENGINES))
+def replay_mixed(spark, sf_dir):
+    return fold.replies(_mixed_log(spark, sf_dir)).select("engine", "seq", "op", "key", "reply")
+
+
+@query(f"WITH {fold_sql('array')}, a AS (SELECT *, {replies_sql('array')} AS reply FROM f) SELECT seq, op, key FROM a WHERE op IN ('SET', 'SETEX', 'MOD', 'DEL', 'EXPIRE') AND reply IN ('OK', '1')")
+def aof_effective_log(spark, sf_dir):
+    return fold.effective(T.command_log(spark, sf_dir), "array").select("seq", "op", "key")
+
+
+@query(f"""WITH {fold_sql('array', f"ts_ms <= {NOW}")}
+SELECT CASE WHEN exp IS NULL THEN 'SET' ELSE 'SETEX' END AS op, key, val AS value, exp - {NOW} AS ttl_ms
+FROM (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY key ORDER BY ts_ms DESC, seq DESC) = 1) WHERE present_after AND (exp IS NULL OR exp > {NOW})""")
+def aof_compaction(spark, sf_dir):
+    return fold.compacted(T.command_log(spark, sf_dir), NOW, "array").select("op", "key", "value", "ttl_ms")
+
+
+# ---- vectors
+
+
+@query(f"WITH {VEC_SQL} SELECT question, round(norm, 6) AS norm FROM v WHERE norm > 0")
+def vset_norm(spark, sf_dir):
+    return T.vectors(spark, sf_dir).select("question", F.round("norm", 6).alias("norm"))
+
+
+def _texts(spark, sf_dir) -> DataFrame:
+    """Vectors as text, with faults that depend on the row: a wrong dim, an empty part, a bad part, zeros, dim zero."""
+    rows = T.table(spark, sf_dir, "embeddings").select("vec_id", X.vector_text(F.col("embedding")).alias("good"))
+    n = F.col("vec_id") % 6
+    text = F.when(n == 1, F.concat("good", F.lit(",0.5"))).when(n == 2, F.regexp_replace("good", "^([^,]*),", "$1,,")).when(n == 3, F.concat("good", F.lit("x"))).when(n == 4, F.regexp_replace("good", "[1-9]", "0")).otherwise(F.col("good"))
+    return rows.select("vec_id", text.alias("text"), F.when(n == 5, 0).otherwise(64).alias("dim"))
+
+
+@query("SELECT vec_id, CASE WHEN vec_id % 6 = 5 THEN 'ERR invalid dim' WHEN vec_id % 6 IN (0, 2) THEN 'OK' ELSE 'ERR vector set failed' END AS reply FROM embeddings")
+def vset_validate(spark, sf_dir):
+    return vector.validated(_texts(spark, sf_dir)).select("vec_id", "reply")
+
+
+@query("""WITH all_v AS (
+  SELECT 'vec:' || vec_id AS question, 'label:' || label AS answer, vec_id AS seq FROM embeddings
+  UNION ALL SELECT 'vec:' || (vec_id - 1), 'label:' || label, vec_id + 1000000 FROM embeddings WHERE vec_id > 0)
+SELECT question, arg_max(answer, seq) AS answer, max(seq) AS seq FROM all_v GROUP BY question""")
+def vset_overwrite(spark, sf_dir):
+    rows = T.table(spark, sf_dir, "embeddings")
+    name = lambda n: F.concat(F.lit("vec:"), n.cast("string"))
+    answer = F.concat(F.lit("label:"), F.col("label").cast("string"))
+    first = rows.select(name(F.col("vec_id")).alias("question"), answer.alias("answer"), F.col("embedding").alias("vector"), F.col("vec_id").alias("seq"))
+    again = rows.filter("vec_id > 0").select(name(F.col("vec_id") - 1).alias("question"), answer.alias("answer"), F.col("embedding").alias("vector"), (F.col("vec_id") + 1_000_000).alias("seq"))
+    return vector.latest(first.unionByName(again)).select("question", "answer", "seq")
+
+
+@query("SELECT 'vec:' || vec_id AS question, 'label:' || label AS answer FROM embeddings WHERE vec_id = 17")
+def vget_key(spark, sf_dir):
+    return T.vectors(spark, sf_dir).filter(F.col("question") == "vec:17").select("question", "answer")
+
+
+COSINE = "list_cosine_similarity(v.vector::DOUBLE[], (SELECT embedding FROM embeddings WHERE vec_id = {n})::DOUBLE[])"
+
+
+@query(f"WITH {VEC_SQL}, s AS (SELECT question, answer, {COSINE.format(n=3)} AS c FROM v) SELECT question, answer, round(c, 6) AS score FROM s WHERE c >= 0.5 ORDER BY c DESC, question LIMIT 1")
+def vget_nearest(spark, sf_dir):
+    found = vector.nearest(T.vectors(spark, sf_dir), T.query_vector(spark, sf_dir, 3), 0.5)
+    return found.select("question", "answer", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {VEC_SQL}, s AS (SELECT question, answer, {COSINE.format(n=0)} AS c FROM v) SELECT question, answer, round(c, 6) AS score FROM s ORDER BY c DESC, question LIMIT 5")
+def vsearch_topk(spark, sf_dir):
+    found = vector.search(T.vectors(spark, sf_dir), T.query_vector(spark, sf_dir, 0), 5)
+    return found.select("question", "answer", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {VEC_SQL}, s AS (SELECT question, answer, {COSINE.format(n=0)} AS c FROM v) SELECT question, answer, round(c, 6) AS score FROM s WHERE c >= 0.1")
+def vsearch_threshold(spark, sf_dir):
+    found = vector.search(T.vectors(spark, sf_dir), T.query_vector(spark, sf_dir, 0), None, 0.1)
+    return found.select("question", "answer", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH {VEC_SQL}, s AS (
+  SELECT q.seq AS query_id, v.question, list_cosine_similarity(v.vector::DOUBLE[], q.vector::DOUBLE[]) AS c FROM v, v q WHERE q.seq < 20),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, question) AS rank FROM s WHERE c >= 0.1)
+SELECT query_id, rank::INT AS rank, question, round(c, 6) AS score FROM r WHERE rank <= 3""")
+def vsearch_multi(spark, sf_dir):
+    queries = T.table(spark, sf_dir, "embeddings").filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    found = vector.search_many(T.vectors(spark, sf_dir), queries, 3, 0.1)
+    return found.select("query_id", "rank", "question", F.round("score", 6).alias("score"))
+
+
+@query("SELECT vec_id, array_to_string(list_transform(embedding, lambda x: printf('%.6f', x::DOUBLE)), ',') AS text, len(embedding)::INT AS n FROM embeddings")
+def vector_text_roundtrip(spark, sf_dir):
+    rows = T.table(spark, sf_dir, "embeddings").select("vec_id", X.vector_text(F.col("embedding")).alias("text"))
+    return rows.select("vec_id", X.vector_text(X.parse_vector(F.col("text"))).alias("text"), F.size(X.parse_vector(F.col("text"))).alias("n"))
+
+
+# ---- wire format and the command table
+
+
+@query(f"""WITH {KV_SQL} SELECT key, '*3' || chr(13) || chr(10) || '$4' || chr(13) || chr(10) || 'RSET' || chr(13) || chr(10) || '$' || strlen(key) || chr(13) || chr(10) || key || chr(13) || chr(10)
+  || '$' || strlen(value) || chr(13) || chr(10) || value || chr(13) || chr(10) AS frame FROM kv WHERE engine = 'rbtree'""")
+def resp_encode_set(spark, sf_dir):
+    return T.keyspace(spark, sf_dir, "rbtree").select("key", X.frame(F.lit("RSET"), F.col("key"), F.col("value")).alias("frame"))
+
+
+@query(f"WITH {KV_SQL} SELECT 'RSET' AS verb, key, value, 3 AS n_args FROM kv WHERE engine = 'rbtree'")
+def resp_decode(spark, sf_dir):
+    framed = resp_encode_set(spark, sf_dir)
+    parts = F.split("frame", "\r\n")
+    return framed.select(parts.alias("p")).select(F.col("p")[2].alias("verb"), F.col("p")[4].alias("key"), F.col("p")[6].alias("value"), F.expr("int(substring(p[0], 2))").alias("n_args"))
+
+
+@query(f"""WITH {fold_sql('rbtree')}, a AS (SELECT seq, op, {replies_sql('rbtree')} AS reply FROM f)
+SELECT seq, CASE WHEN op IN ('SET', 'SETEX') OR (op = 'MOD' AND reply = 'OK') THEN '+OK' || chr(13) || chr(10)
+  WHEN op = 'MOD' THEN '-' || reply || chr(13) || chr(10) WHEN op IN ('EXIST', 'TTL', 'EXPIRE', 'DEL') THEN ':' || reply || chr(13) || chr(10)
+  WHEN reply IS NULL THEN '$-1' || chr(13) || chr(10) ELSE '$' || strlen(reply) || chr(13) || chr(10) || reply || chr(13) || chr(10) END AS wire FROM a""")
+def resp_encode_reply(spark, sf_dir):
+    rows = fold.replies(T.command_log(spark, sf_dir), "rbtree")
+    kind = F.when(F.col("op").isin("SET", "SETEX") | ((F.col("op") == "MOD") & (F.col("reply") == "OK")), "simple").when(F.col("op") == "MOD", "error").when(F.col("op") == "GET", "bulk").otherwise("integer")
+    return rows.select("seq", X.encode_reply(kind, F.col("reply")).alias("wire"))
+
+
+def _attempts(spark, sf_dir) -> DataFrame:
+    """Events as attempted commands: upper or lower case verb, with 1 to 5 arguments, some unknown."""
+    log = T.command_log(spark, sf_dir)
+    verb = F.when(F.col("seq") % 11 == 0, F.lower("op")).when(F.col("seq") % 13 == 0, F.concat(F.lit("X"), F.col("op"))).otherwise(F.col("op"))
+    return log.select("seq", verb.alias("verb"), (F.col("seq") % 5 + 1).cast("int").alias("n_args"))
+
+
+ATTEMPTS_SQL = f"""{LOG_SQL}, a AS (SELECT seq, CASE WHEN seq % 11 = 0 THEN lower(op) WHEN seq % 13 = 0 THEN 'X' || op ELSE op END AS verb, (seq % 5 + 1)::INT AS n_args FROM log),
+c AS (SELECT * FROM (VALUES {", ".join(f"('{v}', {a}, {b}, {str(w).lower()})" for v, a, b, w in schema.commands())}) t(verb, fewest, most, writes))"""
+
+
+def _known(spark) -> DataFrame:
+    """The command table: 39 rows."""
+    return F.broadcast(spark.createDataFrame(schema.commands(), "verb string, fewest int, most int, writes boolean"))
+
+
+@query(f"WITH {ATTEMPTS_SQL} SELECT seq, verb, CASE WHEN fewest IS NULL THEN 'unknown' WHEN n_args BETWEEN fewest AND most THEN 'OK' ELSE 'ERR wrong number of arguments' END AS verdict FROM a LEFT JOIN c USING (verb)")
+def arity_check(spark, sf_dir):
+    rows = _attempts(spark, sf_dir).join(_known(spark), "verb", "left")
+    verdict = F.when(F.col("fewest").isNull(), "unknown").when(F.col("n_args").between(F.col("fewest"), F.col("most")), "OK").otherwise("ERR wrong number of arguments")
+    return rows.select("seq", "verb", verdict.alias("verdict"))
+
+
+@query(f"WITH {ATTEMPTS_SQL} SELECT seq, 'ERR unknown command ''' || verb || '''' AS reply FROM a WHERE verb NOT IN (SELECT verb FROM c)")
+def unknown_command(spark, sf_dir):
+    rows = _attempts(spark, sf_dir).join(_known(spark), "verb", "left_anti")
+    return rows.select("seq", F.concat(F.lit("ERR unknown command '"), "verb", F.lit("'")).alias("reply"))
+
+
+@query(f"WITH {ATTEMPTS_SQL} SELECT seq, verb, CASE WHEN writes THEN 'READONLY' ELSE 'OK' END AS verdict FROM a JOIN c USING (verb)")
+def readonly_gate(spark, sf_dir):
+    rows = _attempts(spark, sf_dir).join(_known(spark), "verb")
+    return rows.select("seq", "verb", F.when(F.col("writes"), "READONLY").otherwise("OK").alias("verdict"))
+
+
+# ---- replication
+
+
+@query(f"WITH {LOG_SQL} SELECT seq, key, op FROM log")
+def repl_dedup(spark, sf_dir):
+    """A sender that repeats every third command."""
+    log = T.command_log(spark, sf_dir).select("seq", "key", "op")
+    return replay.deduplicated(log.unionByName(log.filter("seq % 3 = 0")))
+
+
+@query(f"""WITH {LOG_SQL}, g AS (SELECT key, lag(seq) OVER (PARTITION BY key ORDER BY seq) AS after, seq AS before FROM log)
+SELECT key, after, before, before - after - 1 AS missing FROM g WHERE before > after + 1""")
+def repl_gap_detect(spark, sf_dir):
+    return replay.gaps(T.command_log(spark, sf_dir), "key")
+
+
+# ---- sources and streams: no SQL equivalent
+
+
+@query(f"WITH {KV_SQL} SELECT engine, key, value, expire_ms FROM kv")
+def snapshot_table_roundtrip(spark, sf_dir):
+    path = _scratch(spark, "snapshot")
+    snapshot.write_table(T.all_keyspaces(spark, sf_dir), path)
+    return snapshot.read_table(spark, path)
+
+
+@query(f"WITH {KV_SQL}, {VEC_SQL} SELECT engine, key, value, expire_ms FROM kv UNION ALL SELECT 'vector', question, answer, NULL FROM v")
+def rdb_roundtrip(spark, sf_dir):
+    path = _scratch(spark, "records").removeprefix("file://")
+    snapshot.write_binary(snapshot.records(T.all_keyspaces(spark, sf_dir), T.vectors(spark, sf_dir)), path)
+    rows = snapshot.read_binary(spark, path)
+    named = snapshot.vectors(rows).filter("vector IS NOT NULL").select(F.lit("vector").alias("engine"), F.col("question").alias("key"), F.col("answer").alias("value"), F.lit(None).cast("long").alias("expire_ms"))
+    return snapshot.keyspaces(rows).unionByName(named)
+
+
+@query(f"WITH {LOG_SQL}, n AS (SELECT row_number() OVER (ORDER BY seq) AS place, op, key, CASE WHEN op IN ('SET', 'MOD', 'SETEX') THEN value END AS value, CASE WHEN op IN ('SETEX', 'EXPIRE') THEN ttl_ms END AS ttl_ms FROM log) SELECT * FROM n")
+def aof_roundtrip(spark, sf_dir):
+    path = _scratch(spark, "log")
+    command_log.write_log(T.command_log(spark, sf_dir), path)
+    rows = command_log.commands_of(command_log.read_frames(spark, path), F.lit(0).cast("long"))
+    return rows.select(F.col("seq").alias("place"), "op", "key", "value", "ttl_ms")
+
+
+@query(f"WITH {fold_sql('array')} SELECT seq, op, key, {replies_sql('array')} AS reply FROM f")
+def stream_replay(spark, sf_dir):
+    """The log as a stream, replayed with keyed state; all that there is, then the stream ends."""
+    source, out = _scratch(spark, "stream"), _scratch(spark, "replies")
+    # a sender's seq grows with time within a key
+    log = T.command_log(spark, sf_dir)
+    order = Window.partitionBy("engine", "key").orderBy("ts_ms", "seq")
+    log.withColumn("event", F.col("seq")).withColumn("seq", F.row_number().over(order).cast("long")).write.parquet(source)
+    stream = spark.readStream.schema(spark.read.parquet(source).schema).parquet(source)
+    replies = replay.replay_stream(stream.drop("event"))
+    replies.writeStream.format("parquet").option("path", out).option("checkpointLocation", out + "-checkpoint").trigger(availableNow=True).start().awaitTermination()
+    events = spark.read.parquet(source).select("key", "seq", F.col("event"))
+    return spark.read.schema(replay.REPLIES).parquet(out).join(events, ["key", "seq"]).select(F.col("event").alias("seq"), "op", "key", "reply")
+
+
+@query()
+def vsearch_lsh(spark, sf_dir):
+    found = vector.search_lsh(T.vectors(spark, sf_dir), T.query_vector(spark, sf_dir, 0), 5, 0.3)
+    return found.select("question", "answer", F.round("score", 6).alias("score"))
+
+
+def queries() -> dict:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)
