@@ -171,8 +171,8 @@ def links(nodes: DataFrame, budget: int, agree: int, hot_rows: int = HOT_ROWS) -
     else:
         n = F.coalesce(F.ceil(F.col("count") / hot_rows), F.lit(1))
         own = F.pmod(F.xxhash64("fp"), n)
-        pairs = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda x: F.greatest(x, own) * (F.greatest(x, own) + 1) / 2 + F.least(x, own))
-        rows = rows.join(hot, ["c", "key"], "left").select("fp", "c", "key", F.explode(pairs).cast("long").alias("part"))
+        pairs = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda x: (F.greatest(x, own) * (F.greatest(x, own) + 1) / 2 + F.least(x, own)).cast("long"))
+        rows = rows.join(hot, ["c", "key"], "left").select("fp", "c", "key", F.explode(pairs).alias("part"))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), ceil(nodes.count() * len(masks) / 500_000))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -147,6 +147,8 @@ class Scorer:
         self.bias = self.table[1 << BITS] if len(places) else -np.inf
 
     def __call__(self, text: str | None) -> float:
+        if np.isinf(self.bias):
+            return float(self.bias > 0)
         found = self.features(text or "")
         total = self.table[np.unique(found[self.live[found]])].sum() + self.bias
         return float(1 / (1 + np.exp(-min(700.0, max(-700.0, total)))))
