@@ -40,7 +40,7 @@ SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 CHUNKS = re.compile(f"[^{SPACE}]+")
 #: Bound on remembered chunks and on remembered pairs.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 #: Chunks that are hashed and decoded at a time.
 BLOCK = 8192
 MARK = "</w>"

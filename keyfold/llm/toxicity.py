@@ -34,7 +34,7 @@ BITS = 20
 TOKENS = re.compile(r"\w+|[^\w\s]+")
 STEM = 5
 #: Words that a worker remembers the hashes of; when full they are forgotten.
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Fixed odd multipliers and offsets that tell the kinds of features apart.
 WORD, BEGINNING, PAIR, SKIP = (np.uint64(x) for x in (1, 3 << 40, 7 << 40, 11 << 40))
