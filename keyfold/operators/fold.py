@@ -1,9 +1,9 @@
 """Replay of an ordered command log as a windowed fold.
 
-Rows of a key are ordered by (ts_ms, seq). Each SET, SETEX or DEL begins a segment. Within one, the running value is
-the last one written and the running expiry the last one set; a segment is dead once an operation that
-removes expired keys (``schema.REMOVES``) has met it expired, and nothing later in the segment has an
-effect. All windows are on the key, so the log is shuffled once.
+Rows of a key are ordered by (ts_ms, seq). Each SET or SETEX begins a segment, and so does the row after a DEL. Within
+one, the running value is the last one written and the running expiry the last one set; a segment is dead
+once an operation that removes expired keys (``schema.REMOVES``) has met it expired, and nothing later in the
+segment has an effect. All windows are on the key, so the log is shuffled once.
 
 Input: ``schema.COMMAND`` (op without prefix). A log may mix keyspaces; each is a namespace of its own.
 Negative or zero ttl means expired at once.
@@ -29,40 +29,38 @@ def _one_of(mode: str | None, table: dict[str, tuple[str, ...]] | tuple[str, ...
 
 
 def folded(log: DataFrame, mode: str | None = None) -> DataFrame:
-    """The log with each row's running state: present (before), gone (an expired key is removed here), val, exp, exp_before, present_after, was_present."""
+    """The log with each row's running state: present (before the row), gone (an expired key is removed by it), val, exp (after), exp_before, present_after."""
     op, ts = F.col("op"), F.col("ts_ms")
+    here = (Window.unboundedPreceding, Window.currentRow)
+    earlier = (Window.unboundedPreceding, -1)
     key = Window.partitionBy("engine", "key").orderBy("ts_ms", "seq")
-    upto = Window.partitionBy("engine", "key", "segment").orderBy("ts_ms", "seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = Window.partitionBy("engine", "key", "segment").orderBy("ts_ms", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    heads = op.isin("SET", "SETEX", "DEL")
+    segment = Window.partitionBy("engine", "key", "segment").orderBy("ts_ms", "seq")
+    begun = F.sum(op.isin("SET", "SETEX").cast("int")).over(key.rowsBetween(*here))
+    ended = F.coalesce(F.sum((op == "DEL").cast("int")).over(key.rowsBetween(*earlier)), F.lit(0))
     written = F.when(op.isin("SET", "SETEX", "MOD"), F.coalesce("value", F.lit("")))
     expiry = F.when(op.isin("SETEX", "EXPIRE"), ts + F.col("ttl_ms"))
-    rows = log.withColumn("segment", F.sum(heads.cast("int")).over(key.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    rows = log.withColumn("segment", begun + ended)
     rows = rows.withColumns(
         {
-            "stored": F.first("op").over(upto).isin("SET", "SETEX"),
-            "val": F.last(written, True).over(upto),
-            "exp": F.last(expiry, True).over(upto),
-            "exp_before": F.last(expiry, True).over(before),
+            "stored": F.first("op").over(segment.rowsBetween(*here)).isin("SET", "SETEX"),
+            "val": F.last(written, True).over(segment.rowsBetween(*here)),
+            "exp": F.last(expiry, True).over(segment.rowsBetween(*here)),
+            "exp_before": F.last(expiry, True).over(segment.rowsBetween(*earlier)),
         }
     )
     met_expired = F.coalesce(F.col("exp_before") <= ts, F.lit(False))
     rows = rows.withColumn("gone", _one_of(mode, REMOVES if mode is None else {mode: REMOVES[mode]}) & met_expired)
-    rows = rows.withColumn("dead", F.coalesce(F.max("gone").over(before), F.lit(False)))
-    rows = rows.withColumn("present", F.col("stored") & ~F.col("dead"))
-    rows = rows.withColumn("present_after", F.col("present") & ~F.col("gone"))
-    was = F.coalesce(F.lag("present_after").over(key), F.lit(False))
-    if mode == "logical":
-        was = was & F.coalesce(F.lag("exp").over(key) > ts, F.lit(True))
-    return rows.withColumn("was_present", was)
+    dead = F.coalesce(F.max("gone").over(segment.rowsBetween(*earlier)), F.lit(False))
+    # a SET or SETEX makes its key present; before it, the segment does not exist
+    rows = rows.withColumn("present", F.col("stored") & ~dead)
+    return rows.withColumn("present_after", F.col("present") & ~F.col("gone") & (op != "DEL"))
 
 
 def _needs_live(mode: str | None) -> Column:
     return F.lit(mode in MOD_NEEDS_LIVE) if mode is not None else F.col("engine").isin(*MOD_NEEDS_LIVE)
 
 
-def replies(log: DataFrame, mode: str | None = None) -> DataFrame:
-    """A reply for each command: (seq, engine, op, key, reply); null is nil."""
+def _replied(log: DataFrame, mode: str | None) -> DataFrame:
     op = F.col("op")
     alive = F.col("present") & F.coalesce(F.col("exp_before") > F.col("ts_ms"), F.lit(True))
     strict = alive if mode == "logical" else F.col("present")
@@ -74,10 +72,14 @@ def replies(log: DataFrame, mode: str | None = None) -> DataFrame:
         .when(op == "EXIST", number(alive))
         .when(op == "TTL", F.when(strict, ttl_seconds(F.col("exp_before"), F.col("ts_ms")).cast("string")).otherwise("-2"))
         .when(op == "MOD", F.when(may, "OK").otherwise("ERR no such key"))
-        .when(op == "EXPIRE", number(strict))
-        .when(op == "DEL", number(F.col("was_present")))
+        .when(op.isin("EXPIRE", "DEL"), number(strict))
     )
-    return folded(log, mode).select("seq", "engine", "op", "key", reply.alias("reply"))
+    return folded(log, mode).withColumn("reply", reply)
+
+
+def replies(log: DataFrame, mode: str | None = None) -> DataFrame:
+    """A reply for each command: (seq, engine, op, key, reply); null is nil."""
+    return _replied(log, mode).select("seq", "engine", "op", "key", "reply")
 
 
 def state(log: DataFrame, as_of_ms: int | None = None, mode: str | None = None) -> DataFrame:
@@ -90,10 +92,9 @@ def state(log: DataFrame, as_of_ms: int | None = None, mode: str | None = None)
 
 
 def effective(log: DataFrame, mode: str | None = None) -> DataFrame:
-    """The commands that changed data: what a durable log keeps and a follower needs."""
-    done = replies(log, mode).select("seq", "reply")
-    writes = log.filter(F.col("op").isin("SET", "SETEX", "MOD", "DEL", "EXPIRE"))
-    return writes.join(done.filter(F.col("reply").isin("OK", "1")).select("seq"), "seq")
+    """The commands that changed data, as they came: what a durable log keeps and a follower needs."""
+    writes = F.col("op").isin("SET", "SETEX", "MOD", "DEL", "EXPIRE") & F.col("reply").isin("OK", "1")
+    return _replied(log, mode).filter(writes).select(*log.columns)
 
 
 def compacted(log: DataFrame, as_of_ms: int, mode: str | None = None) -> DataFrame:
