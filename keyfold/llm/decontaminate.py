@@ -104,8 +104,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 13, id
     windows = written(windows_of(benchmark, width), "windows")
     found = written(hits(docs, windows, id_col, text_col), "hits")
     places = found.select("id", "code", F.explode(F.sequence("begin", F.col("begin") + F.col("len") - 1)).alias("pos")).distinct()
-    n_hit = places.groupBy("id", "code").agg(F.count(F.lit(1)).alias("_n_hit"))
-    n_hit = written(n_hit.select(F.col("id").alias("_id"), F.col("code").alias("_code"), "_n_hit"), "n_hit")
-    own = docs.withColumn("_own", F.xxhash64(id_col, text_col))
-    bad = (F.col(id_col).eqNullSafe(F.col("_id"))) & (F.col("_own") == F.col("_code")) & (F.col("_n_hit") * 20 >= F.size(words_of(F.col(text_col))))
-    return own.join(n_hit, bad, "left_anti").drop("_own")
+    n_hit = written(places.groupBy("id", "code").agg(F.count(F.lit(1)).alias("n_hit")).toDF("__keyfold_id", "__keyfold_code", "__keyfold_n"), "n_hit")
+    own = docs.withColumn("__keyfold_own", F.xxhash64(id_col, text_col))
+    bad = F.col(id_col).eqNullSafe(F.col("__keyfold_id")) & (F.col("__keyfold_own") == F.col("__keyfold_code"))
+    much = F.col("__keyfold_n") * 20 >= F.size(words_of(F.col(text_col)))
+    return own.join(n_hit, bad & much, "left_anti").drop("__keyfold_own")

@@ -80,11 +80,9 @@ def dedup_pages(pages: DataFrame, ratio: float = 0.1, least: int = 3, id_col: st
 def dedup_documents(docs: DataFrame, ratio: float = 0.1, least: int = 3, host_col: str = "source", text_col: str = "text") -> DataFrame:
     """Documents with the same columns; ``text`` loses the lines that are boilerplate of their source. No row goes."""
     names = docs.columns
-    rows = docs.withColumns({"host": F.col(host_col), "lines": text_lines(F.col(text_col))}) if not {"host", "lines", "n_lines"} & set(names) else None
-    if rows is None:  # a column of the input has a name that is needed here
-        inner = docs.toDF(*(f"_{i}" for i in range(len(names))))
-        out = dedup_documents(inner, ratio, least, f"_{names.index(host_col)}", f"_{names.index(text_col)}")
-        return out.toDF(*names)
+    host, text = (F.col(f"_{names.index(c)}") for c in (host_col, text_col))
+    # columns get names of their own, so that none of the input's can clash with those needed here
+    rows = docs.toDF(*(f"_{i}" for i in range(len(names)))).withColumns({"host": host, "lines": text_lines(text)})
     out = drop_boilerplate(rows, ratio, least)
-    text = F.when(F.size("lines") == F.col("n_lines"), F.col(text_col)).otherwise(F.array_join("lines", "\n"))
-    return out.withColumn(text_col, text).select(*names)
+    kept = F.when(F.size("lines") == F.col("n_lines"), text).otherwise(F.array_join("lines", "\n"))
+    return out.withColumn(f"_{names.index(text_col)}", kept).select(*(F.col(f"_{i}").alias(n) for i, n in enumerate(names)))
