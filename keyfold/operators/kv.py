@@ -73,3 +73,8 @@ def expire(kv: DataFrame, changes: DataFrame, now_ms: int | Column) -> DataFrame
 def expired(kv: DataFrame, now_ms: int | Column) -> DataFrame:
     """Rows whose expiry has passed."""
     return kv.filter(F.col("expire_ms") <= _now(now_ms))
+
+
+def purge(kv: DataFrame, now_ms: int | Column) -> DataFrame:
+    """The table without expired rows: what an active scan leaves."""
+    return kv.filter(live(F.col("expire_ms"), _now(now_ms)))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from keyfold import schema
 from keyfold.functions import expressions as X
-from keyfold.operators import fold, kv, vector
+from keyfold.operators import flows, fold, kv, vector
 from keyfold.plans import tables as T
 from keyfold.sources import command_log, snapshot
 from keyfold.streaming import replay
@@ -435,6 +435,39 @@ def repl_gap_detect(spark, sf_dir):
     return replay.gaps(T.command_log(spark, sf_dir), "key")
 
 
+def _segments(spark, sf_dir) -> DataFrame:
+    """Events as segments of their user's flow: 100 bytes each, of which every fifth repeats half of the one before and every seventh leaves a hole."""
+    rows = T.table(spark, sf_dir, "events").select(F.col("user_id").alias("flow"), F.col("event_id").alias("at"))
+    n = F.row_number().over(Window.partitionBy("flow").orderBy("at")).cast("long")
+    rows = rows.withColumn("n", n)
+    shift = F.when(F.col("n") % 5 == 0, -50).when(F.col("n") % 7 == 0, 30).otherwise(0)
+    return rows.select("flow", "at", (F.col("n") * 100 + shift).alias("begin"), F.lit(100).cast("long").alias("size"))
+
+
+SEGMENTS_SQL = """n AS (SELECT user_id AS flow, event_id AS at_, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+seg AS (SELECT flow, at_, n * 100 + CASE WHEN n % 5 = 0 THEN -50 WHEN n % 7 = 0 THEN 30 ELSE 0 END AS b, 100::BIGINT AS size FROM n),
+seen AS (SELECT *, max(b + size) OVER (PARTITION BY flow ORDER BY at_ ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS s FROM seg)"""
+
+
+@query(f'WITH {SEGMENTS_SQL} SELECT flow, at_ AS "at", b AS "begin", size, greatest(0, b + size - greatest(b, coalesce(s, b)))::BIGINT AS fresh, coalesce(b > s, false) AS reset FROM seen')
+def flow_reassembly(spark, sf_dir):
+    return flows.reassemble(_segments(spark, sf_dir))
+
+
+@query("""WITH e AS (SELECT user_id AS flow, epoch_us(ts) // 1000 AS ts_ms FROM events),
+g AS (SELECT *, CASE WHEN ts_ms - lag(ts_ms) OVER (PARTITION BY flow ORDER BY ts_ms) > 21600000 THEN 1 ELSE 0 END AS anew FROM e),
+s AS (SELECT *, sum(anew) OVER (PARTITION BY flow ORDER BY ts_ms RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS session FROM g)
+SELECT flow, session, min(ts_ms) AS first_ms, max(ts_ms) AS last_ms, count(*)::BIGINT AS n FROM s GROUP BY flow, session""")
+def flow_sessions(spark, sf_dir):
+    rows = T.table(spark, sf_dir, "events").select(F.col("user_id").alias("flow"), X.millis(F.col("ts")).alias("ts_ms"))
+    return flows.sessions(rows, 6 * 3_600_000)
+
+
+@query(f"WITH {KV_SQL} SELECT engine, key, value, expire_ms FROM kv WHERE expire_ms IS NULL OR expire_ms > {T.ORDER_CLOCK}")
+def active_expiry(spark, sf_dir):
+    return kv.purge(T.all_keyspaces(spark, sf_dir), T.ORDER_CLOCK)
+
+
 # ---- sources and streams: no SQL equivalent
 
 
