@@ -198,7 +198,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, budget: int = 2, agree: i
     return prints.join(named, "fp").select(F.col("id").alias(id_col), digits.alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, budget: int = 7, agree: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = 5, budget: int = 6, agree: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without near duplicates: of each component the row with the smallest id stays.
 
     Rows without an id cannot be told apart and all stay. Of rows that repeat an id that stays, one stays.
