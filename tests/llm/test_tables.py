@@ -188,6 +188,46 @@ def test_trie_join_with_wide_budgets():
         assert [got.find(i) for i in range(len(v))] == [union.find(i) for i in range(len(v))]
 
 
+def plain_similarity(a, b, k=5):
+    def shingles(text):
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        return {tuple(words[i : i + k]) for i in range(len(words) - k + 1)} if len(words) >= k else {tuple(words)}
+
+    a, b = shingles(a), shingles(b)
+    return len(a & b) / len(a | b)
+
+
+def test_similar_groups_equal_brute_force(spark):
+    rng = random.Random(12)
+    texts = near_texts()
+    base = [f"x{i}" for i in range(400)]
+    for _ in range(25):  # one group in which some pairs are similar and many are not
+        changed = base[:]
+        for at in rng.sample(range(400), rng.choice((4, 10, 14))):
+            changed[at] = f"y{rng.randrange(10**6)}"
+        texts.append(" ".join(changed))
+    texts += [texts[-1].upper(), texts[20], None]
+    rows = [(i * 7 % 1009, t) for i, t in enumerate(texts)]
+    prints = [plain_print(t, 5) for t in texts]
+    union, within, far = Union(), 0, 0
+    for i in range(len(rows)):
+        union.find(rows[i][0])
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= 8:
+                if plain_similarity(texts[i], texts[j]) >= 0.8:
+                    union.join(rows[i][0], rows[j][0])
+                    within += 1
+                else:
+                    far += 1
+    assert within > 60 and far > 15  # the fixture has both kinds
+    expected = {(i, union.find(i)) for i, _ in rows}
+    table = docs(spark, rows + [rows[20], (None, texts[20])])
+    for hot in (simhash.HOT_ROWS, 4):
+        assert {tuple(r) for r in simhash.similar_groups(table, hot_rows=hot).collect()} == expected
+    assert simhash.similar_groups(docs(spark, [])).count() == 0
+    assert simhash.similar_groups(docs(spark, [(1, "a b c")])).collect() == [(1, 1)]
+
+
 def test_keep_one(spark):
     base = " ".join(f"w{i}" for i in range(300))
     rows = [(5, base), (3, base), (9, base.replace("w7 ", "w8 ")), (4, "something else entirely " * 9), (None, base), (4, "something else entirely " * 9)]
