@@ -1,9 +1,9 @@
 """Replay of an ordered command log as a windowed fold.
 
-Rows of a key are ordered by (ts_ms, seq). Each SET or SETEX begins a segment, and so does the row after a DEL. Within
-one, the running value is the last one written and the running expiry the last one set; a segment is dead
-once an operation that removes expired keys (``schema.REMOVES``) has met it expired, and nothing later in the
-segment has an effect. All windows are on the key, so the log is shuffled once.
+Rows of a key are ordered by (ts_ms, seq). Running last values over the key tell, before each row, whether a value is
+stored (SET and SETEX store, DEL removes), which one, and when it expires (SET and DEL clear expiry). A stored
+value is dead once an operation that removes expired keys (``schema.REMOVES``) has met it expired, until it
+is stored anew. All windows are on the key with one order, so the log is shuffled and sorted once.
 
 Input: ``schema.COMMAND`` (op without prefix). A log may mix keyspaces; each is a namespace of its own.
 Negative or zero ttl means expired at once.
@@ -29,31 +29,32 @@ def _one_of(mode: str | None, table: dict[str, tuple[str, ...]] | tuple[str, ...
 
 
 def folded(log: DataFrame, mode: str | None = None) -> DataFrame:
-    """The log with each row's running state: present (before the row), gone (an expired key is removed by it), val, exp (after), exp_before, present_after."""
+    """The log with each row's running state: present, val_before, exp_before (before the row), gone (an expired key is removed by it), present_after, val, exp."""
     op, ts = F.col("op"), F.col("ts_ms")
-    here = (Window.unboundedPreceding, Window.currentRow)
-    earlier = (Window.unboundedPreceding, -1)
     key = Window.partitionBy("engine", "key").orderBy("ts_ms", "seq")
-    segment = Window.partitionBy("engine", "key", "segment").orderBy("ts_ms", "seq")
-    begun = F.sum(op.isin("SET", "SETEX").cast("int")).over(key.rowsBetween(*here))
-    ended = F.coalesce(F.sum((op == "DEL").cast("int")).over(key.rowsBetween(*earlier)), F.lit(0))
-    written = F.when(op.isin("SET", "SETEX", "MOD"), F.coalesce("value", F.lit("")))
-    expiry = F.when(op.isin("SETEX", "EXPIRE"), ts + F.col("ttl_ms"))
-    rows = log.withColumn("segment", begun + ended)
-    rows = rows.withColumns(
+    here = key.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = key.rowsBetween(Window.unboundedPreceding, -1)
+    stores = op.isin("SET", "SETEX")
+    value = F.when(op.isin("SET", "SETEX", "MOD"), F.coalesce("value", F.lit("")))
+    never = F.lit(None).cast("long")
+    # a struct, as an expiry that is cleared is not the same as a row that leaves it alone
+    expiry = F.when(op.isin("SET", "DEL"), F.struct(never.alias("at"))).when(op.isin("SETEX", "EXPIRE"), F.struct((ts + F.col("ttl_ms")).alias("at")))
+    stored = F.when(stores, True).when(op == "DEL", False)
+    rows = log.withColumns(
         {
-            "stored": F.first("op").over(segment.rowsBetween(*here)).isin("SET", "SETEX"),
-            "val": F.last(written, True).over(segment.rowsBetween(*here)),
-            "exp": F.last(expiry, True).over(segment.rowsBetween(*here)),
-            "exp_before": F.last(expiry, True).over(segment.rowsBetween(*earlier)),
+            "stored": F.coalesce(F.last(stored, True).over(earlier), F.lit(False)),
+            "val_before": F.last(value, True).over(earlier),
+            "val": F.last(value, True).over(here),
+            "exp_before": F.last(expiry, True).over(earlier)["at"],
+            "exp": F.last(expiry, True).over(here)["at"],
         }
     )
     met_expired = F.coalesce(F.col("exp_before") <= ts, F.lit(False))
     rows = rows.withColumn("gone", _one_of(mode, REMOVES if mode is None else {mode: REMOVES[mode]}) & met_expired)
-    dead = F.coalesce(F.max("gone").over(segment.rowsBetween(*earlier)), F.lit(False))
-    # a SET or SETEX makes its key present; before it, the segment does not exist
-    rows = rows.withColumn("present", F.col("stored") & ~dead)
-    return rows.withColumn("present_after", F.col("present") & ~F.col("gone") & (op != "DEL"))
+    dead = F.last(F.when(stores | (op == "DEL"), False).when(F.col("gone"), True), True).over(earlier)
+    rows = rows.withColumn("present", F.col("stored") & ~F.coalesce(dead, F.lit(False)))
+    after = F.when(stores, True).when(op == "DEL", False).otherwise(F.col("present") & ~F.col("gone"))
+    return rows.withColumn("present_after", after)
 
 
 def _needs_live(mode: str | None) -> Column:
@@ -68,7 +69,7 @@ def _replied(log: DataFrame, mode: str | None) -> DataFrame:
     number = lambda c: c.cast("int").cast("string")
     reply = (
         F.when(op.isin("SET", "SETEX"), "OK")
-        .when(op == "GET", F.when(alive, F.col("val")))
+        .when(op == "GET", F.when(alive, F.col("val_before")))
         .when(op == "EXIST", number(alive))
         .when(op == "TTL", F.when(strict, ttl_seconds(F.col("exp_before"), F.col("ts_ms")).cast("string")).otherwise("-2"))
         .when(op == "MOD", F.when(may, "OK").otherwise("ERR no such key"))
