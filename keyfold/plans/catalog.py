@@ -101,7 +101,12 @@ def query(sql: str | None = None, name: str | None = None):
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/keyfold"
+    """A new folder that driver and executors share: below ``spark.checkpoint.dir``, or on this machine where all run in one process."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="keyfold-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -213,7 +218,9 @@ def first_last_key(spark, sf_dir):
 def key_successor(spark, sf_dir):
     """Each key's successor. Keys are dealt by range; a range's last key takes the first key of the next range that has any, so no task holds all keys."""
     rows = T.keyspace(spark, sf_dir, "rbtree").select("key")
-    ranged = rows.repartitionByRange("key").withColumn("part", F.spark_partition_id()).persist()
+    path = _scratch(spark, "ranged")
+    rows.repartitionByRange("key").withColumn("part", F.spark_partition_id()).write.parquet(path)
+    ranged = spark.read.schema("key string, part int").parquet(path)
     firsts = ranged.groupBy("part").agg(F.min("key").alias("first_key"))
     nexts = firsts.select("part", F.lead("first_key").over(Window.orderBy("part")).alias("next_first"))
     inside = ranged.withColumn("inner", F.lead("key").over(Window.partitionBy("part").orderBy("key")))
