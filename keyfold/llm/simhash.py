@@ -39,6 +39,8 @@ from keyfold.llm.shared import written
 SEED = 42
 #: Node pairs of the trie that are descended at a time, and the pairs of values below which a node pair is compared outright.
 FRONTIER, LEAF = 16_384, 64
+#: After a first round of forests, a task lists all pairs that are left if they are so many for a node at most.
+LISTED = 16
 #: Fingerprints of a subtree above which it is cut into chunks.
 HOT_ROWS = 20_000
 #: For each byte a word of eight bytes, of which the i-th holds the byte's i-th bit.
@@ -143,7 +145,7 @@ class Groups:
         self.label = label
         self.used: list[tuple[np.ndarray, np.ndarray]] = []
 
-    def unite(self, i: np.ndarray, j: np.ndarray) -> None:
+    def take(self, i: np.ndarray, j: np.ndarray) -> None:
         while True:
             a, b = self.label[i], self.label[j]
             apart = a != b
@@ -159,6 +161,25 @@ class Groups:
                 self.label = self.label[self.label]
 
 
+class TooMany(Exception):
+    """More pairs than may be listed."""
+
+
+class Listed(Groups):
+    """Unites nothing: all pairs of places in different groups are used, up to ``most``."""
+
+    def __init__(self, label: np.ndarray, most: int):
+        super().__init__(label)
+        self.room = most
+
+    def take(self, i: np.ndarray, j: np.ndarray) -> None:
+        apart = self.label[i] != self.label[j]
+        self.used.append((i[apart], j[apart]))
+        self.room -= int(apart.sum())
+        if self.room < 0:
+            raise TooMany
+
+
 def _descend(choice: np.ndarray, fp: np.ndarray, place: np.ndarray, part: np.ndarray, masks: list[int], budget: int, groups: Groups, barred: np.ndarray | None = None) -> None:
     """Join the subtrees of one task and unite what is found; rows are (choice of blocks, fingerprint, place of the node, chunk pair). ``barred``: sorted codes of pairs that do not count."""
     n = len(groups.label)
@@ -172,11 +193,18 @@ def _descend(choice: np.ndarray, fp: np.ndarray, place: np.ndarray, part: np.nda
         bits = [b for b in range(63, -1, -1) if not masks[c] >> b & 1]
         at = place[rows]
         for i, j in trie_self_join(rest, new, np.r_[new[1:], len(rows)], bits, budget, lambda at=at: groups.label[at]):
+            if isinstance(groups, Listed):
+                # a pair that agrees on several choices of blocks is listed in the first
+                differ = fp[rows[i]] ^ fp[rows[j]]
+                first = np.ones(len(i), bool)
+                for m in masks[:c]:
+                    first &= (differ & np.uint64(m)) != 0
+                i, j = i[first], j[first]
             i, j = at[i], at[j]
             if barred is not None and len(barred):
                 free = ~np.isin(np.minimum(i, j) * n + np.maximum(i, j), barred)
                 i, j = i[free], j[free]
-            groups.unite(i, j)
+            groups.take(i, j)
 
 
 def joined(choice: np.ndarray, fp: np.ndarray, part: np.ndarray, masks: list[int], budget: int) -> tuple[np.ndarray, np.ndarray]:
@@ -188,20 +216,25 @@ def joined(choice: np.ndarray, fp: np.ndarray, part: np.ndarray, masks: list[int
     return nodes[linked], nodes[groups.label[linked]]
 
 
-def proposed(node: np.ndarray, fp: np.ndarray, root: np.ndarray, choice: np.ndarray, part: np.ndarray, barred: np.ndarray, masks: list[int], budget: int) -> tuple[np.ndarray, np.ndarray]:
-    """The subtrees of one task, joined: pairs of nodes within the budget that connect what is not connected yet. ``root`` tells what is, ``barred`` (pairs of nodes) what has been compared in vain."""
+def proposed(node: np.ndarray, fp: np.ndarray, root: np.ndarray, choice: np.ndarray, part: np.ndarray, barred: np.ndarray, masks: list[int], budget: int, listed: int) -> tuple[np.ndarray, np.ndarray]:
+    """The subtrees of one task, joined: pairs of nodes within the budget that connect what is not connected yet. ``root`` tells what is, ``barred`` (pairs of nodes) what has been compared in vain. All such pairs are given if they are no more than ``listed`` a node, else a forest of them."""
     nodes, first, place = np.unique(node, return_index=True, return_inverse=True)
     _, label = np.unique(root[first], return_inverse=True)
     smallest = np.full(len(nodes), len(nodes))
     np.minimum.at(smallest, label, np.arange(len(nodes)))
-    groups = Groups(smallest[label])
+    label = smallest[label]
     if len(barred):
         ends = np.searchsorted(nodes, barred)
         here = (ends < len(nodes)).all(1)
         ends = ends[here]
         ends = ends[(nodes[ends] == barred[here]).all(1)]
         barred = np.unique(ends.min(1) * len(nodes) + ends.max(1)) if len(ends) else ends[:, 0]
-    _descend(choice, fp, place, part, masks, budget, groups, barred)
+    groups = Listed(label, listed * len(nodes)) if listed else Groups(label)
+    try:
+        _descend(choice, fp, place, part, masks, budget, groups, barred)
+    except TooMany:
+        groups = Groups(label)
+        _descend(choice, fp, place, part, masks, budget, groups, barred)
     if not groups.used:
         return nodes[:0], nodes[:0]
     i, j = (np.concatenate(x) for x in zip(*groups.used))
@@ -273,7 +306,7 @@ def similarity(a: bytes, b: bytes, shingle: int) -> float:
     return len(a & b) / len(a | b)
 
 
-def _proposals(active: DataFrame, failed: DataFrame | None, masks: list[int], budget: int, hot_rows: int) -> DataFrame:
+def _proposals(active: DataFrame, failed: DataFrame | None, listed: int, masks: list[int], budget: int, hot_rows: int) -> DataFrame:
     """Pairs (a, b) of active nodes (node, fp, root), within the budget, to be compared."""
     spark = active.sparkSession
     rows, hot = _dealt(active, masks, hot_rows, F.col("node"))
@@ -298,21 +331,22 @@ def _proposals(active: DataFrame, failed: DataFrame | None, masks: list[int], bu
             barred = rows[rows["barred"]][["node", "root"]].to_numpy()
             rows = rows[~rows["barred"]]
             if len(rows):
-                a, b = proposed(rows["node"].to_numpy(), rows["fp"].to_numpy().view(np.uint64), rows["root"].to_numpy(), rows["c"].to_numpy(), rows["part"].to_numpy(), barred, masks, budget)
+                a, b = proposed(rows["node"].to_numpy(), rows["fp"].to_numpy().view(np.uint64), rows["root"].to_numpy(), rows["c"].to_numpy(), rows["part"].to_numpy(), barred, masks, budget, listed)
                 yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     return rows.repartition(parts, "c", "key", "part").mapInPandas(run, "a long, b long").distinct()
 
 
-def similar_groups(docs: DataFrame, shingle: int = 5, budget: int = 8, agree: int = 2, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text", hot_rows: int = HOT_ROWS) -> DataFrame:
+def similar_groups(docs: DataFrame, shingle: int = 5, budget: int = 7, agree: int = 2, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text", hot_rows: int = HOT_ROWS) -> DataFrame:
     """(id, component_id): documents connected by pairs within the budget whose shingles' Jaccard similarity is ``least`` or more.
 
     Texts of the same words are one node. In each round the tries propose, per task, a forest of pairs within the
     budget that would connect what is not connected yet; their shingles are compared; pairs that are similar
     connect, the others are barred. Nodes whose surroundings held a barred pair take part in the next
-    round, as a pair that was left out may connect them; the rounds end when nothing new is proposed or all
-    that was proposed is similar. So no similar pair within the budget is lost, and never are all
-    pairs of a group listed.
+    round, as a pair that was left out may connect them; from then on a task lists all pairs that are left, if they
+    are few for its nodes (``LISTED``). The rounds end when nothing new is proposed or all that was proposed
+    is similar. So no similar pair within the budget is lost, and never are all pairs of a large
+    group listed.
     """
     masks = block_masks(budget, agree)
     spark = docs.sparkSession
@@ -338,7 +372,7 @@ def similar_groups(docs: DataFrame, shingle: int = 5, budget: int = 8, agree: in
     nodes = written(prints.groupBy("node").agg(F.min("fp").alias("fp"), F.min("id").alias("first_id")), "nodes")
     active, failed, good, texts, labels = nodes.select("node", "fp", F.col("node").alias("root")), None, None, None, None
     while True:
-        pairs = written(_proposals(active, failed, masks, budget, hot_rows), "pairs")
+        pairs = written(_proposals(active, failed, LISTED if failed is not None else 0, masks, budget, hot_rows), "pairs")
         if pairs.isEmpty():
             break
         if texts is None:  # later rounds are about the same nodes
@@ -370,7 +404,7 @@ def similar_groups(docs: DataFrame, shingle: int = 5, budget: int = 8, agree: in
     return prints.join(named, "node").select(F.col("id"), "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, budget: int = 8, agree: int = 2, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = 5, budget: int = 7, agree: int = 2, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without near duplicates: of each group of similar ones the row with the smallest id stays.
 
     Rows without an id cannot be told apart and all stay. Rows of one id are judged together; of those that stay

@@ -197,7 +197,7 @@ def plain_similarity(a, b, k=5):
     return len(a & b) / len(a | b)
 
 
-def test_similar_groups_equal_brute_force(spark):
+def test_similar_groups_equal_brute_force(spark, monkeypatch):
     rng = random.Random(12)
     texts = near_texts()
     base = [f"x{i}" for i in range(400)]
@@ -213,7 +213,7 @@ def test_similar_groups_equal_brute_force(spark):
     for i in range(len(rows)):
         union.find(rows[i][0])
         for j in range(i):
-            if (prints[i] ^ prints[j]).bit_count() <= 8:
+            if (prints[i] ^ prints[j]).bit_count() <= 7:
                 if plain_similarity(texts[i], texts[j]) >= 0.8:
                     union.join(rows[i][0], rows[j][0])
                     within += 1
@@ -222,7 +222,8 @@ def test_similar_groups_equal_brute_force(spark):
     assert within > 60 and far > 15  # the fixture has both kinds
     expected = {(i, union.find(i)) for i, _ in rows}
     table = docs(spark, rows + [rows[20], (None, texts[20])])
-    for hot in (simhash.HOT_ROWS, 4):
+    for hot, listed in ((simhash.HOT_ROWS, simhash.LISTED), (4, 1)):  # also with chunks, and with forests to the end
+        monkeypatch.setattr(simhash, "LISTED", listed)
         assert {tuple(r) for r in simhash.similar_groups(table, hot_rows=hot).collect()} == expected
     assert simhash.similar_groups(docs(spark, [])).count() == 0
     assert simhash.similar_groups(docs(spark, [(1, "a b c")])).collect() == [(1, 1)]
