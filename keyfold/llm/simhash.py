@@ -181,7 +181,7 @@ class Listed(Groups):
 
 
 def _descend(choice: np.ndarray, fp: np.ndarray, place: np.ndarray, part: np.ndarray, masks: list[int], budget: int, groups: Groups, barred: np.ndarray | None = None) -> None:
-    """Join the subtrees of one task and unite what is found; rows are (choice of blocks, fingerprint, place of the node, chunk pair). ``barred``: sorted codes of pairs that do not count."""
+    """Join the subtrees of one task and unite what is found; rows are (choice of blocks, fingerprint, place of the node, chunk pair). ``barred``: sorted codes of pairs that do not count; with it, a pair that agrees on several choices counts in the first only."""
     n = len(groups.label)
     for c in np.unique(choice):
         rows = np.flatnonzero(choice == c)
@@ -193,15 +193,14 @@ def _descend(choice: np.ndarray, fp: np.ndarray, place: np.ndarray, part: np.nda
         bits = [b for b in range(63, -1, -1) if not masks[c] >> b & 1]
         at = place[rows]
         for i, j in trie_self_join(rest, new, np.r_[new[1:], len(rows)], bits, budget, lambda at=at: groups.label[at]):
-            if isinstance(groups, Listed):
-                # a pair that agrees on several choices of blocks is listed in the first
+            if barred is not None:
                 differ = fp[rows[i]] ^ fp[rows[j]]
                 first = np.ones(len(i), bool)
                 for m in masks[:c]:
                     first &= (differ & np.uint64(m)) != 0
                 i, j = i[first], j[first]
             i, j = at[i], at[j]
-            if barred is not None and len(barred):
+            if barred is not None:
                 free = ~np.isin(np.minimum(i, j) * n + np.maximum(i, j), barred)
                 i, j = i[free], j[free]
             groups.take(i, j)
@@ -312,10 +311,11 @@ def _proposals(active: DataFrame, failed: DataFrame | None, listed: int, masks:
     rows, hot = _dealt(active, masks, hot_rows, F.col("node"))
     rows = rows.select("c", "key", "part", "node", "fp", "root", F.lit(False).alias("barred"))
     if failed is not None:
-        # a pair that failed goes to all tasks where the two meet
-        both = failed.select("a", "b", _keys(masks, F.col("fp_a")).alias("t"), "fp_a", "fp_b").select("a", "b", "t.c", "t.key", "fp_a", "fp_b")
-        differ = F.element_at(F.array(*(F.col("fp_a").bitwiseXOR(F.col("fp_b")).bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)) for m in masks)), F.col("c") + 1)
-        both = both.filter(differ == 0)
+        # a pair that failed goes to the task where the two count: that of the first choice on which they agree
+        signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+        agrees = F.array(*(F.col("fp_a").bitwiseXOR(F.col("fp_b")).bitwiseAND(F.lit(m)) == 0 for m in signed))
+        both = failed.withColumn("c", F.array_position(agrees, True).cast("int") - 1)
+        both = both.withColumn("key", F.col("fp_a").bitwiseAND(F.element_at(F.array(*map(F.lit, signed)), F.col("c") + 1)))
         if hot is None:
             both = both.withColumn("part", F.lit(0).cast("long"))
         else:
