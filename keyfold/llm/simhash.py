@@ -35,8 +35,8 @@ from xxhash import xxh64_intdigest
 
 from keyfold.llm.components import components
 from keyfold.llm.shared import written
+from keyfold.llm.similar import SEED, node_of, similar_texts, similarity
 
-SEED = 42
 #: Node pairs of the trie that are descended at a time, and the pairs of values below which a node pair is compared outright.
 FRONTIER, LEAF = 16_384, 64
 #: After a first round of forests, a task lists all pairs that are left if they are so many for a node at most.
@@ -288,23 +288,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, budget: int = 2, agree: i
     return prints.join(named, "fp").select(F.col("id").alias(id_col), digits.alias("fingerprint"), "component_id")
 
 
-def node_of(text: str | None) -> tuple[bytes, int]:
-    """A text's words, lower-cased (A-Z) and joined by single spaces, and their digest."""
-    words = b" ".join((text or "").encode().lower().split())
-    return words, int(np.array(xxh64_intdigest(words, SEED + 1), np.uint64).view(np.int64))
-
-
-def similarity(a: bytes, b: bytes, shingle: int) -> float:
-    """Jaccard similarity of the sets of word shingles; fewer words are one shingle."""
-
-    def shingles(text: bytes) -> set:
-        words = text.split(b" ")
-        return set(zip(*(words[i:] for i in range(shingle)))) if len(words) >= shingle else {tuple(words)}
-
-    a, b = shingles(a), shingles(b)
-    return len(a & b) / len(a | b)
-
-
 def _proposals(active: DataFrame, failed: DataFrame | None, listed: int, masks: list[int], budget: int, hot_rows: int) -> DataFrame:
     """Pairs (a, b) of active nodes (node, fp, root), within the budget, to be compared."""
     spark = active.sparkSession
@@ -404,13 +387,14 @@ def similar_groups(docs: DataFrame, shingle: int = 5, budget: int = 7, agree: in
     return prints.join(named, "node").select(F.col("id"), "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, budget: int = 7, agree: int = 2, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without near duplicates: of each group of similar ones the row with the smallest id stays.
 
+    All pairs whose shingles' Jaccard similarity is ``least`` or more count, however far apart their fingerprints are.
     Rows without an id cannot be told apart and all stay. Rows of one id are judged together; of those that stay
     one stays.
     """
-    found = written(similar_groups(docs, shingle, budget, agree, least, id_col, text_col), "found")
+    found = written(similar_texts(docs, shingle, least, id_col, text_col), "found")
     gone = written(found.filter("id <> component_id").select(F.col("id").alias("__keyfold_id")).distinct(), "gone")
     kept = docs.join(gone, docs[id_col] == gone["__keyfold_id"], "left_anti")
     again = found.filter("id = component_id").groupBy("id").count().filter("count > 1")
