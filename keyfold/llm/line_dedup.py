@@ -77,12 +77,30 @@ def dedup_pages(pages: DataFrame, ratio: float = 0.1, least: int = 3, id_col: st
     return out.select(id_col, "host", F.col("n_lines").cast("long").alias("n_lines"), (F.col("n_lines") - F.size("lines")).cast("long").alias("n_dropped"), F.array_join("lines", "\n").alias("text"))
 
 
-def dedup_documents(docs: DataFrame, ratio: float = 0.1, least: int = 3, host_col: str = "source", text_col: str = "text") -> DataFrame:
-    """Documents with the same columns; ``text`` loses the lines that are boilerplate of their source. No row goes."""
+def repeated_passages(rows: DataFrame, words: int, least: int) -> DataFrame:
+    """From (t, lines), t the digest of a text, to (t, passages): the hashes of its lines of over ``words`` words that ``least`` or more texts hold, but for those it is the first to hold."""
+    long = (F.length("line") > 2 * words) & (F.size(F.split("line", r"\s+")) > words)
+    lines = rows.select("t", F.explode(F.array_distinct(F.transform("lines", trimmed))).alias("line")).filter(long)
+    held = written(lines.select(_hash(F.col("line")).alias("line"), "t").distinct(), "held")
+    often = held.groupBy("line").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("first")).filter(F.col("n") >= least)
+    later = held.join(written(often.select("line", "first"), "passages"), "line").filter("t <> first")
+    return written(later.groupBy("t").agg(F.collect_list("line").alias("passages")), "later")
+
+
+def dedup_documents(docs: DataFrame, ratio: float = 0.1, least: int = 3, host_col: str = "source", text_col: str = "text", words: int = 50) -> DataFrame:
+    """Documents with the same columns; ``text`` loses the lines that are boilerplate of their source. No row goes.
+
+    It also loses lines of over ``words`` words that ``least`` or more different texts hold, of whatever sources and however
+    many these have; one text (that of the smallest digest) keeps each. Copies of a whole text are one text here, so
+    they stay copies of each other.
+    """
     names = docs.columns
     host, text = (F.col(f"_{names.index(c)}") for c in (host_col, text_col))
     # columns get names of their own, so that none of the input's can clash with those needed here
-    rows = docs.toDF(*(f"_{i}" for i in range(len(names)))).withColumns({"host": host, "lines": text_lines(text)})
-    out = drop_boilerplate(rows, ratio, least)
+    rows = docs.toDF(*(f"_{i}" for i in range(len(names)))).withColumns({"host": host, "lines": text_lines(text), "t": F.xxhash64(text)})
+    later = repeated_passages(rows.select("t", "lines"), words, least)
+    out = drop_boilerplate(rows, ratio, least).join(later, "t", "left")
+    left = F.filter("lines", lambda x: ~F.array_contains(F.col("passages"), _hash(x)))
+    out = out.withColumn("lines", F.when(F.col("passages").isNull(), F.col("lines")).otherwise(left))
     kept = F.when(F.size("lines") == F.col("n_lines"), text).otherwise(F.array_join("lines", "\n"))
     return out.withColumn(f"_{names.index(text_col)}", kept).select(*(F.col(f"_{i}").alias(n) for i, n in enumerate(names)))
