@@ -35,7 +35,7 @@ from xxhash import xxh64_intdigest
 
 from keyfold.llm.components import components
 from keyfold.llm.shared import written
-from keyfold.llm.similar import SEED, node_of, similar_texts, similarity
+from keyfold.llm.similar import SEED, digest_of, node_of, similar_rows, similarity
 
 #: Node pairs of the trie that are descended at a time, and the pairs of values below which a node pair is compared outright.
 FRONTIER, LEAF = 16_384, 64
@@ -391,14 +391,17 @@ def keep_one(docs: DataFrame, shingle: int = 5, least: float = 0.8, id_col: str
     """The documents without near duplicates: of each group of similar ones the row with the smallest id stays.
 
     All pairs whose shingles' Jaccard similarity is ``least`` or more count, however far apart their fingerprints are.
-    Rows without an id cannot be told apart and all stay. Rows of one id are judged together; of those that stay
-    one stays.
+    Rows without an id cannot be told apart and all stay. Rows of one id are told apart by the digests of their
+    texts: each is judged by its own text, and rows of one id and one text leave one.
     """
-    found = written(similar_texts(docs, shingle, least, id_col, text_col), "found")
-    gone = written(found.filter("id <> component_id").select(F.col("id").alias("__keyfold_id")).distinct(), "gone")
-    kept = docs.join(gone, docs[id_col] == gone["__keyfold_id"], "left_anti")
-    again = found.filter("id = component_id").groupBy("id").count().filter("count > 1")
+    found = written(similar_rows(docs, shingle, least, id_col, text_col), "found")
+    first = (F.col("id") == F.col("first.id")) & (F.col("digest") == F.col("first.digest"))
+    gone = written(found.filter(~first).select(F.col("id").alias("__keyfold_id"), F.col("digest").alias("__keyfold_digest")).distinct(), "gone")
+    digest = digest_of(docs[text_col])
+    kept = docs.join(gone, (docs[id_col] == gone["__keyfold_id"]) & (digest == gone["__keyfold_digest"]), "left_anti")
+    again = found.filter(first).groupBy("id", "digest").count().filter("count > 1")
     if again.isEmpty():
         return kept
     without = kept.filter(F.col(id_col).isNull())
-    return kept.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(without)
+    kept = kept.filter(F.col(id_col).isNotNull()).withColumn("__keyfold_digest", digest_of(F.col(text_col)))
+    return kept.dropDuplicates([id_col, "__keyfold_digest"]).drop("__keyfold_digest").unionByName(without)

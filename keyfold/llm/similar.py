@@ -20,7 +20,7 @@ from math import ceil
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -139,9 +139,19 @@ def _common(docs: DataFrame, shingle: int) -> np.ndarray:
 
 def similar_texts(docs: DataFrame, shingle: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text", listed: int | None = None) -> DataFrame:
     """(id, component_id): documents connected by pairs whose shingles' Jaccard similarity is ``least`` or more; rows without an id are left out."""
+    return similar_rows(docs, shingle, least, id_col, text_col, listed).select("id", F.col("first.id").alias("component_id"))
+
+
+def digest_of(text: Column) -> Column:
+    """Tells apart texts of one id."""
+    return F.xxhash64(text)
+
+
+def similar_rows(docs: DataFrame, shingle: int, least: float, id_col: str, text_col: str, listed: int | None = None) -> DataFrame:
+    """(id, digest, first): a row's id and the digest of its text, and those of the smallest row that it is connected with."""
     listed = LISTED if listed is None else listed
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id IS NOT NULL")
+    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), digest_of(F.col(text_col)).alias("digest")).filter("id IS NOT NULL")
     id_type = docs.schema["id"].dataType.simpleString()
     common = spark.sparkContext.broadcast(_common(docs, shingle))
 
@@ -156,7 +166,7 @@ def similar_texts(docs: DataFrame, shingle: int = 5, least: float = 0.8, id_col:
                 nodes.append(node)
                 sizes.append(len(own))
                 firsts.append(prefix(np.r_[own[~late], own[late]], least))
-            yield pd.DataFrame({"id": batch["id"], "node": nodes, "size": sizes, "first": firsts})
+            yield pd.DataFrame({"id": batch["id"], "digest": batch["digest"], "node": nodes, "size": sizes, "first": firsts})
 
     def proposed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         whole = [b for b in batches if len(b)]
@@ -176,8 +186,8 @@ def similar_texts(docs: DataFrame, shingle: int = 5, least: float = 0.8, id_col:
             good = [similarity(x, y, shingle) >= least for x, y in zip(batch["words_a"], batch["words_b"])]
             yield batch[["a", "b"]][np.array(good, bool)]
 
-    prints = written(docs.mapInPandas(printed, f"id {id_type}, node long, size int, first array<long>"), "prints")
-    nodes = written(prints.groupBy("node").agg(F.min("id").alias("first_id")), "nodes")
+    prints = written(docs.mapInPandas(printed, f"id {id_type}, digest long, node long, size int, first array<long>"), "prints")
+    nodes = written(prints.groupBy("node").agg(F.min(F.struct("id", "digest")).alias("first_one")), "nodes")
     postings = prints.select("node", "size", "first").dropDuplicates(["node"]).select("node", "size", F.posexplode("first").alias("at", "token"))
     rows = prints.agg(F.sum(F.size("first"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), ceil(rows / 500_000))
@@ -188,7 +198,7 @@ def similar_texts(docs: DataFrame, shingle: int = 5, least: float = 0.8, id_col:
     while True:
         if not pairs.isEmpty():
             ends = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends")
-            of = nodes.join(ends, "node").select("node", F.col("first_id").alias("id"))
+            of = nodes.join(ends, "node").select("node", F.col("first_one.id").alias("id"))
             # an id may stand for several texts; those that were not asked for find no pair
             wanted = docs.join(of.select("id").distinct(), "id", "left_semi")
             texts = written(wanted.mapInPandas(worded, "node long, words binary").dropDuplicates(["node"]), "texts")
@@ -215,8 +225,8 @@ def similar_texts(docs: DataFrame, shingle: int = 5, least: float = 0.8, id_col:
         tried, low = tried.unionByName(pairs), high
     if labels is None:
         labels = spark.createDataFrame([], "node long, root long")
-    members = written(nodes.join(labels, "node").select("node", "root", "first_id"), "members")
-    names = written(members.groupBy("root").agg(F.min("first_id").alias("component_id")), "names")
-    named = members.join(names, "root").select("node", F.col("component_id").alias("named"))
-    named = written(nodes.join(named, "node", "left").select("node", F.coalesce("named", "first_id").alias("component_id")), "named")
-    return prints.select("id", "node").join(named, "node").select("id", "component_id")
+    members = written(nodes.join(labels, "node").select("node", "root", "first_one"), "members")
+    names = written(members.groupBy("root").agg(F.min("first_one").alias("named")), "names")
+    named = members.join(names, "root").select("node", "named")
+    named = written(nodes.join(named, "node", "left").select("node", F.coalesce("named", "first_one").alias("first")), "named")
+    return prints.select("id", "digest", "node").join(named, "node").select("id", "digest", "first")

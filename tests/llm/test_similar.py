@@ -64,3 +64,11 @@ def test_candidates_are_complete(common):
         found |= set(zip(a.tolist(), b.tolist()))
         low *= 2
     assert wanted <= found
+
+
+def test_texts_of_one_id_are_judged_apart(spark):
+    base, other, third = (" ".join(f"{x}{i}" for i in range(200)) for x in "bot")
+    near = base.replace("b7 ", "b8 ")
+    rows = [(1, base), (2, near), (2, other), (3, third), (3, other.upper()), (3, third), (None, base)]
+    kept = sorted(((r.doc_id or 0, r.text) for r in simhash.keep_one(docs(spark, rows)).collect()))
+    assert kept == sorted([(0, base), (1, base), (2, other), (3, third)])
