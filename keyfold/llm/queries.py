@@ -2,19 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import uuid
-
 import corpus_pipeline
 from keyfold.llm import bpe, decontaminate, knn, license_scan, line_dedup, pii, rollup, secret_scan, simhash, toxicity
 from keyfold.llm.shared import shared_dir, written
 
-#: Where the public tokenizers' files are found on the executors.
-TOKENIZERS = "/opt/tokenizers"
-
-
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -115,7 +111,7 @@ FROM p LEFT JOIN texts USING (row_id)
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_decode(_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
+    return bpe.encode_decode(_table(spark, sf_dir, "documents"), bpe.public_vocabulary)
 
 
 #: Key of the registered query; a real run passes its own secret.

@@ -88,16 +88,80 @@ def test_bpe_equals_library(library):
         assert decoder.feed(ids[:cut]) + decoder.feed(ids[cut:]) == library.decode(expected, skip_special_tokens=False)
 
 
+def test_bpe_equals_library_on_every_code_point(library):
+    """Each as a letter's neighbour, inside a word and by itself; private and surrogate ones are sampled and left out."""
+    coder = bpe.encoder(VOCABULARY)
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x40000 or c % 61 == 0)]
+    for at in range(0, len(points), 2000):
+        text = " ".join(f"a{chr(c)}b {chr(c)} x{chr(c)}" for c in points[at : at + 2000])
+        ids = array("I", b"".join(coder.stream(text))).tolist()
+        assert ids == library.encode(text, add_special_tokens=False).ids, hex(points[at])
+
+
+def test_tokens_stay_apart_as_the_merge_list_has_it():
+    merges, rng = bpe.encoder(VOCABULARY).merges, random.Random(5)
+    plain = [t for t in merges.vocab if not t.endswith(bpe.MARK) and merges.whole(t)]
+    ends = [t for t in merges.vocab if t.endswith(bpe.MARK) and merges.whole(t)]
+    both = {True: 0, False: 0}
+    for _ in range(30_000):
+        left, right = rng.choice(plain[: rng.choice((400, 20_000))]), rng.choice(rng.choice((plain, ends))[: rng.choice((400, 20_000))])
+        apart = merges.merged(merges.symbols(left)[:-1] + [left[-1]] + merges.symbols(right)) == [left, right]
+        assert merges.apart(left, right) == apart, (left, right)
+        both[apart] += 1
+    assert min(both.values()) > 1000
+
+
+def long_pieces(rng):
+    yield "".join(rng.choice("thaneriou") for _ in range(30_000))
+    for unit in ("a", "ab", "an", "ing", "the", "tion", "ha", "ana", "!", "=-", "0o", "éè"):
+        yield unit * (6_000 // len(unit))
+
+
 def test_bpe_streams_long_pieces_in_constant_memory(library):
     coder, rng = bpe.encoder(VOCABULARY), random.Random(2)
-    piece = "".join(rng.choice("thaneriou") for _ in range(30_000))
-    stream, tokens, most = bpe.PieceEncoder(coder.merges), [], 0
-    for at in range(0, len(piece), 37):
-        tokens += stream.feed(piece[at : at + 37])
-        most = max(most, len(stream.paths))
-    tokens += stream.finish()
-    assert [coder.merges.vocab[t] for t in tokens] == library.encode(piece, add_special_tokens=False).ids
-    assert most <= 4 * coder.merges.lookahead
+    merges = coder.merges
+    for piece in long_pieces(rng):
+        pieces = [p for p, _ in coder.split(coder.normal(piece))]
+        got, most = [], 0
+        for part in pieces:
+            symbols = part.encode().decode("latin-1").translate(coder.symbols)
+            stream = bpe.PieceEncoder(merges)
+            for at in range(0, len(symbols), 37):
+                got += stream.feed(symbols[at : at + 37])
+                most = max(most, len(stream.last))
+            got += stream.finish()
+        assert got == library.encode(piece, add_special_tokens=False).ids
+        assert most <= 3 * merges.lookahead + 1
+
+
+def test_lookahead_bounds_what_text_to_come_changes():
+    """The tokens of a text that end ``lookahead`` symbols before its end stay when text is added; in small merge lists chains are common."""
+    rng, reached = random.Random(6), 0
+    for _ in range(300):
+        tokens, pairs = list("abc"), []
+        for _ in range(rng.randrange(2, 14)):
+            pair = (rng.choice(tokens), rng.choice(tokens))
+            if "".join(pair) not in tokens:
+                pairs.append(pair)
+                tokens.append("".join(pair))
+        marked = [s + bpe.MARK for s in "abc"]
+        spec = {"model": {"type": "BPE", "end_of_word_suffix": bpe.MARK, "vocab": {t: i for i, t in enumerate(tokens + marked)}, "merges": pairs}, "added_tokens": []}
+        merges = bpe.Merges(spec)
+        for _ in range(60):
+            text = "".join(rng.choice("abc"[: rng.choice((1, 2, 3))]) for _ in range(rng.randrange(2, 40)))
+            n = rng.randrange(1, len(text))
+            whole, part = (merges.merged(merges.symbols(t + "c" + bpe.MARK)[:-1] if t else []) for t in (text, text[:n]))
+            same = 0
+            while same < min(len(whole), len(part)) and whole[same] == part[same]:
+                same += 1
+            if same < len(part):
+                changed = n - sum(map(len, part[: same + 1]))  # symbols after the first token that does not stay
+                assert changed < merges.lookahead
+                reached = max(reached, changed)
+            coder = bpe.PieceEncoder(merges)
+            ids = [i for s in text for i in coder.feed(s)] + coder.finish()
+            assert [merges.names[i] for i in ids] == merges.merged(merges.symbols(text + bpe.MARK))
+    assert reached >= 4
 
 
 def test_bpe_rows(spark, library):
