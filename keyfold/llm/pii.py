@@ -10,8 +10,10 @@ address is not a number: its local part becomes a keyed digest and its domain st
 Nothing is shuffled: each text is rewritten where it stands. Texts without a digit or @ are passed by.
 
 Defined results: a null text stays null and has zero counts; an empty text stays empty; numbers that fail
-validation (Luhn, octets, calendar) stay; repeated rows give a row each; null ids are kept; other
-columns are ignored. Numbers that touch further letters or digits are parts of something else and stay.
+validation (Luhn, octets, calendar, ranges of social numbers) stay; repeated rows give a row each; null ids are kept; other
+columns are ignored. Numbers that touch further letters or digits are parts of something else and stay, but for an
+address before a slash and a day before a time. A mail address is read up to 127 labels of its domain. Dates with the
+month first, cards grouped in other ways, account numbers and national notations of phones other than those with ten digits are not looked for.
 """
 
 from __future__ import annotations
@@ -21,9 +23,11 @@ from pyspark.sql import functions as F
 
 ROUNDS = 8
 #: Candidates, and what each kind looks like as a whole.
-MAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
-PHONE = r"\+1 \([0-9]{3}\) [0-9]{3}-[0-9]{4}"
-CARD = r"[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}"
+#: A domain has 127 labels at most; a repetition of labels without a bound would be matched by unbounded recursion.
+MAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){0,125}\.[A-Za-z]{2,}+"
+#: Numbers of ten digits with or without +1, and international ones in one run of digits.
+PHONE = r"(?:\+1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}|\+1 [0-9]{3} [0-9]{3} [0-9]{4}|\+[1-9][0-9]{7,14}"
+CARD = r"[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{5}"
 ADDRESS = r"(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 SOCIAL = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
 DAY = r"[0-9]{4}-[0-9]{2}-[0-9]{2}"
@@ -35,9 +39,12 @@ KINDS = ("mail", "phone", "card", "address", "social", "date")
 
 def candidates() -> str:
     """One expression for all that may be personal data. Numbers reach over all they touch."""
+    apart, ends = r"(?<![A-Za-z0-9])(?<![A-Za-z0-9][./-])", r"(?![A-Za-z0-9]|[./-][A-Za-z0-9])"
     number = r"(?<![A-Za-z0-9])[A-Za-z]*+[0-9][A-Za-z0-9]*+(?:[./-][A-Za-z0-9]++)*+"
-    grouped = r"(?<![A-Za-z0-9])[0-9]{4} [0-9]{4} [0-9]{4} [0-9]{4}(?![A-Za-z0-9])"
-    return "|".join((MAIL, PHONE, grouped, number))
+    grouped = r"(?<![A-Za-z0-9])(?:[0-9]{4} [0-9]{4} [0-9]{4} [0-9]{4}|[0-9]{4} [0-9]{6} [0-9]{5})(?![A-Za-z0-9])"
+    # an address may be followed by a path or a length of a prefix, a day by a time
+    address, day = rf"{apart}{ADDRESS}(?=/)", rf"{apart}{DAY}(?=T[0-9]{{2}}:)"
+    return "|".join((MAIL, rf"{apart}(?:{PHONE}){ends}", grouped, address, day, number))
 
 
 def _rounds(left: Column, right: Column, a: int, b: int, key: str, kind: str) -> Column:
@@ -91,6 +98,11 @@ def _day_number(x: Column) -> Column:
     return F.datediff(_date_of(x), F.lit(FIRST_DAY).cast("date")).cast("long")
 
 
+def _issued(number: Column) -> Column:
+    """Whether nine digits can be a social number: fixed ranges of areas, groups and serial numbers are never used."""
+    return ~number.rlike("^(?:000|666|9)|^...00|0000$")
+
+
 def kind_of(x: Column) -> Column:
     """The kind of a candidate, or null if it fails validation."""
     plain = F.regexp_replace(x, "[ -]", "")
@@ -100,7 +112,7 @@ def kind_of(x: Column) -> Column:
         .when(_whole(x, PHONE), "phone")
         .when(_whole(x, CARD) & (F.pmod(luhn_sum(plain, 1), F.lit(10)) == 0), "card")
         .when(_whole(x, ADDRESS), "address")
-        .when(_whole(x, SOCIAL), "social")
+        .when(_whole(x, SOCIAL) & _issued(F.regexp_replace(x, "-", "")), "social")
         .when((day >= 0) & (day < DAYS_A * DAYS_B), "date")
     )
 
@@ -116,17 +128,33 @@ def _card(x: Column, key: str) -> Column:
 
     whole = F.element_at(F.transform(F.array(body), checked), 1)
     sep = F.regexp_extract(x, "([ -])", 1)
-    grouped = F.element_at(F.transform(F.array(whole), lambda w: F.concat(F.substring(w, 1, 4), sep, F.substring(w, 5, 4), sep, F.substring(w, 9, 4), sep, F.substring(w, 13, 4))), 1)
-    return F.when(sep == "", whole).otherwise(grouped)
+
+    def parted(*sizes: int):
+        begins = [sum(sizes[:i]) for i in range(len(sizes))]
+        return lambda w: F.concat(*(x for at, n in zip(begins, sizes) for x in (sep, F.substring(w, at + 1, n))[at == 0 :]))
+
+    in_fours, in_three = (F.element_at(F.transform(F.array(whole), parted(*sizes)), 1) for sizes in ((4, 4, 4, 4), (4, 6, 5)))
+    return F.when(sep == "", whole).when(F.length(plain) == 15, in_three).otherwise(in_fours)
 
 
 def _phone(x: Column, key: str) -> Column:
-    plain = digits(F.substring(F.regexp_replace(x, "[^0-9]", ""), 2, 10), 10, key, "phone")
-    return F.element_at(F.transform(F.array(plain), lambda d: F.concat(F.lit("+1 ("), F.substring(d, 1, 3), F.lit(") "), F.substring(d, 4, 3), F.lit("-"), F.substring(d, 7, 4))), 1)
+    """Ten digits are one number in whatever notation; of other international numbers the last seven digits change."""
+    shape = r"^(.*?)([0-9]{3})([^0-9]*)([0-9]{3})([^0-9]*)([0-9]{4})$"
+    national = ~x.startswith("+") | x.startswith("+1")
+    plain = F.regexp_replace(x, "[^0-9]", "")
+    ten = digits(F.right(plain, F.lit(10)), 10, key, "phone")
+
+    def put(d: Column) -> Column:
+        return F.concat(F.regexp_extract(x, shape, 1), F.substring(d, 1, 3), F.regexp_extract(x, shape, 3), F.substring(d, 4, 3), F.regexp_extract(x, shape, 5), F.substring(d, 7, 4))
+
+    seven = F.concat(F.left(x, F.length(x) - 7), digits(F.right(plain, F.lit(7)), 7, key, "phone"))
+    return F.when(national & (F.length(plain) <= 11) & (F.length(plain) >= 10), F.element_at(F.transform(F.array(ten), put), 1)).otherwise(seven)
 
 
 def _social(x: Column, key: str) -> Column:
-    plain = digits(F.regexp_replace(x, "-", ""), 9, key, "social")
+    """The permutation of nine digits is walked until a number that can be issued is met, which is a permutation of those; one number in nine needs another step."""
+    once = digits(F.regexp_replace(x, "-", ""), 9, key, "social")
+    plain = F.aggregate(F.sequence(F.lit(1), F.lit(40)), once, lambda s, _: F.when(_issued(s), s).otherwise(digits(s, 9, key, "social")))
     return F.element_at(F.transform(F.array(plain), lambda d: F.concat_ws("-", F.substring(d, 1, 3), F.substring(d, 4, 2), F.substring(d, 6, 4))), 1)
 
 
@@ -157,17 +185,17 @@ def pseudonym(x: Column, kind: Column, key: str) -> Column:
 def pseudonymize(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document: id, count of each kind and the text with pseudonyms."""
     pattern = candidates()
-    text = F.col("_text")
-    rows = docs.select(F.col(id_col), F.col(text_col).alias("_text"))
-    found = F.when(text.rlike("[0-9@]"), F.regexp_extract_all("_text", F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    rows = rows.withColumn("_found", found)
-    rows = rows.withColumn("_kinds", F.transform("_found", kind_of))
-    any_kind = F.exists("_kinds", lambda k: k.isNotNull())
-    new = F.zip_with("_found", "_kinds", lambda x, k: pseudonym(x, k, key))
-    whole = F.array_join(F.zip_with(F.split("_text", pattern, -1), new, lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))), "")
+    text = F.col("__keyfold_text")
+    rows = docs.select(F.col(id_col).alias("__keyfold_id"), F.col(text_col).alias("__keyfold_text"))
+    found = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    rows = rows.withColumn("__keyfold_found", found)
+    rows = rows.withColumn("__keyfold_kinds", F.transform("__keyfold_found", kind_of))
+    any_kind = F.exists("__keyfold_kinds", lambda k: k.isNotNull())
+    new = F.zip_with("__keyfold_found", "__keyfold_kinds", lambda x, k: pseudonym(x, k, key))
+    whole = F.array_join(F.zip_with(F.split(text, pattern, -1), new, lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))), "")
 
     def is_kind(name: str):
         return lambda k: k == name
 
-    counts = [F.coalesce(F.size(F.filter("_kinds", is_kind(n))), F.lit(0)).cast("long").alias(f"n_{n}") for n in KINDS]
-    return rows.select(id_col, *counts, F.when(any_kind, whole).otherwise(text).alias("text"))
+    counts = [F.coalesce(F.size(F.filter("__keyfold_kinds", is_kind(n))), F.lit(0)).cast("long").alias(f"n_{n}") for n in KINDS]
+    return rows.select(F.col("__keyfold_id").alias(id_col), *counts, F.when(any_kind, whole).otherwise(text).alias("text"))

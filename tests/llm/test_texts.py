@@ -269,3 +269,42 @@ def test_pii_rows(spark):
     assert other[0] != rows[0].text
     nodes = pii.pseudonymize(frame(spark, texts), "key")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in nodes and "Exchange" not in nodes
+
+
+def test_pii_shapes(spark):
+    same = ["+1 (743) 555-3824", "(743) 555-3824", "743-555-3824", "743.555.3824", "+1-743-555-3824", "+1 743 555 3824", "+17435553824"]
+    texts = [f"tel {p}, x" for p in same] + ["+442071838750", "3782 822463 10005 378282246310005 3782-822463-10005", "http://10.0.0.1/path 10.0.0.1", "at 2024-01-02T10:00:00Z, 2024-01-02", "000-12-3456 666-12-3456 901-12-3456 123-00-4567 123-45-0000 123-45-6789", "743-555-3824-1 1743-555-3824 v743-555-3824"]
+    rows = [r for r in sorted(pii.pseudonymize(frame(spark, texts), "key").collect())]
+    d = plain_digits("7435553824", "key", "phone")
+    for p, r in zip(same, rows):
+        new = r.text[4:-3]
+        assert r.n_phone == 1 and re.sub("[0-9]", "0", new) == re.sub("[0-9]", "0", p) and re.sub("[^0-9]", "", new)[-10:] == d
+    rows = rows[len(same) :]
+    assert rows[0].text == "+44207" + plain_digits("1838750", "key", "phone")[:0] + rows[0].text[6:] and rows[0].text == "+44207"[:6] + plain_digits("2071838750"[3:], "key", "phone")
+    one, two, three = rows[1].text[:17], rows[1].text[18:33], rows[1].text[34:]
+    assert one.replace(" ", "") == two == three.replace("-", "") != "378282246310005" and luhn(two) == 0 and re.fullmatch(r"\d{4} \d{6} \d{5}", one)
+    inner, plain = re.fullmatch(r"http://(\S+)/path (\S+)", rows[2].text).groups()
+    assert inner == plain != "10.0.0.1" and rows[2].n_address == 2
+    inner, plain = re.fullmatch(r"at (\S+)T10:00:00Z, (\S+)", rows[3].text).groups()
+    assert inner == plain != "2024-01-02" and rows[3].n_date == 2
+    assert rows[4].n_social == 1 and rows[4].text.startswith(texts[len(same) + 4][:-11])
+    assert rows[5].text == texts[-1]
+
+
+def test_social_numbers_stay_possible(spark):
+    numbers = [f"{a:03d}-{g:02d}-{s:04d}" for a in (1, 665, 667, 899) for g in (1, 57, 99) for s in range(1, 9999, 97)]
+    rows = pii.pseudonymize(frame(spark, numbers), "key").collect()
+    assert all(re.fullmatch(r"(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}", r.text) for r in rows)
+    assert len({r.text for r in rows}) == len(numbers)
+
+
+def test_long_and_odd_texts_of_personal_data(spark):
+    labels = "a@" + "b.cc." * 40_000 + "com"
+    texts = [labels, "x" * 1_000_000, "1." * 200_000 + "1", "1-" * 200_000, "9" * 1_000_000, "a@" * 200_000, "+1 (" * 100_000, "@" * 300_000, "a.b@c.de " * 50_000]
+    rows = sorted(pii.pseudonymize(frame(spark, texts), "key").collect())
+    assert rows[0].n_mail == 1 and rows[0].text.endswith(".cc.com") and len(rows[0].text) > 100_000
+    assert [r.text for r in rows[1:8]] == texts[1:8] and rows[8].n_mail == 50_000
+    table = spark.createDataFrame([(None, "a@b.com", 1), (None, "a@b.com", 1), (7, None, 1)], "_text long, _found string, _kinds int")
+    out = pii.pseudonymize(table, "key", id_col="_text", text_col="_found").collect()
+    assert len(out) == 3 and sum(r.n_mail for r in out) == 2 and len({r.text for r in out if r.text}) == 1
+    assert pii.pseudonymize(table.limit(0), "key", id_col="_text", text_col="_found").count() == 0
