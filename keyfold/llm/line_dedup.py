@@ -10,7 +10,8 @@ written; then the join is by host and may be split where a host is hot.
 
 Defined results: null texts have no lines; empty (all white space) lines are never boilerplate; a page without a
 host (null or empty) is left whole; repeated rows are pages of their own; an empty table gives an empty result;
-null ids are kept. Lines are compared without white space at their ends.
+null ids are kept; pages of a million line ends, tags or unclosed scripts are read in time proportional to their length.
+Lines are compared without white space at their ends.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)"
 
 #: White space that is taken off the ends of lines.
 SPACE = " \t\r\x0b\x0c\u00a0"
+#: Characters from which on a page is long; more characters than any text holds.
+LONG, MOST = 1 << 16, 2**31 - 1
 
 
 def trimmed(line: Column) -> Column:
@@ -36,9 +39,27 @@ def host_of(url: Column) -> Column:
 
 
 def html_lines(html: Column) -> Column:
-    """Runs of text between tags and line ends, trimmed, without empty ones; scripts and styles are left out."""
-    bare = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>", "\n")
-    return F.filter(F.transform(F.split(bare, r"(?:<[^>]*>|\n)+"), trimmed), lambda x: x != "")
+    """Runs of text between tags and line ends, trimmed, without empty ones; scripts and styles are left out.
+
+    No expression repeats a group or an alternative, which Java would match by recursion. In long pages scripts are looked
+    for up to the last closing tag and tags up to the last >, so that none is read to the end from each of many
+    places; the lines are the same.
+    """
+    html = F.coalesce(html, F.lit(""))
+    closed = F.regexp_extract(html, r"(?is)^.*</(?:script|style)>", 0)
+    bare = F.when(F.length(html) <= LONG, _without_scripts(html)).otherwise(F.concat(_without_scripts(closed), F.substring(html, F.length(closed) + 1, MOST)))
+    tail = F.substring_index(bare, ">", -1)
+    head = F.left(bare, F.length(bare) - F.length(tail))
+    marked = F.when(F.length(html) <= LONG, _without_tags(bare)).otherwise(F.concat(_without_tags(head), tail))
+    return F.filter(F.transform(F.split(marked, "\n+"), trimmed), lambda x: x != "")
+
+
+def _without_scripts(html: Column) -> Column:
+    return F.regexp_replace(html, r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>", "\n")
+
+
+def _without_tags(html: Column) -> Column:
+    return F.regexp_replace(html, "<[^>]*>", "\n")
 
 
 def text_lines(text: Column) -> Column:
@@ -62,19 +83,24 @@ def boilerplate(pages: DataFrame, ratio: float, least: int) -> DataFrame:
 
 
 def drop_boilerplate(pages: DataFrame, ratio: float = 0.1, least: int = 3) -> DataFrame:
-    """From rows with (host string, lines array) to the same rows with ``lines`` left and ``n_lines`` before."""
+    """From rows with (host string, lines array) to the same rows with ``lines`` left and ``n_lines`` before.
+
+    ``least`` is there because on a host of few pages every line exceeds the ratio by standing on its own page. A column
+    ``n_lines`` of the input is replaced, as ``lines`` is; other columns may have any names.
+    """
     common = boilerplate(pages.select(F.coalesce("host", F.lit("")).alias("host"), "lines"), ratio, least)
-    joined = pages.join(common.withColumnRenamed("host", "_host"), F.col("host") == F.col("_host"), "left")
-    kept = F.filter("lines", lambda x: (trimmed(x) == "") | ~F.array_contains(F.col("common"), _hash(x)))
-    lines = F.when(F.col("common").isNull(), F.col("lines")).otherwise(kept)
-    return joined.withColumn("n_lines", F.size("lines")).withColumn("lines", lines).drop("_host", "common")
+    common = common.select(F.col("host").alias("__keyfold_host"), F.col("common").alias("__keyfold_common"))
+    joined = pages.join(common, pages["host"] == common["__keyfold_host"], "left")
+    kept = F.filter("lines", lambda x: (trimmed(x) == "") | ~F.array_contains(F.col("__keyfold_common"), _hash(x)))
+    lines = F.when(F.col("__keyfold_common").isNull(), F.col("lines")).otherwise(kept)
+    return joined.withColumn("n_lines", F.size("lines")).withColumn("lines", lines).drop("__keyfold_host", "__keyfold_common")
 
 
 def dedup_pages(pages: DataFrame, ratio: float = 0.1, least: int = 3, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Web pages: id, host, n_lines, n_dropped and the text left, a line for each run of text."""
-    rows = pages.select(F.col(id_col), host_of(F.col(url_col)).alias("host"), html_lines(F.col(html_col)).alias("lines"))
+    rows = pages.select(F.col(id_col).alias("__keyfold_id"), host_of(F.col(url_col)).alias("host"), html_lines(F.col(html_col)).alias("lines"))
     out = drop_boilerplate(rows, ratio, least)
-    return out.select(id_col, "host", F.col("n_lines").cast("long").alias("n_lines"), (F.col("n_lines") - F.size("lines")).cast("long").alias("n_dropped"), F.array_join("lines", "\n").alias("text"))
+    return out.select(F.col("__keyfold_id").alias(id_col), "host", F.col("n_lines").cast("long").alias("n_lines"), (F.col("n_lines") - F.size("lines")).cast("long").alias("n_dropped"), F.array_join("lines", "\n").alias("text"))
 
 
 def repeated_passages(rows: DataFrame, words: int, least: int) -> DataFrame:

@@ -330,3 +330,17 @@ def test_contamination_equals_brute_force(spark):
     assert sorted(str((r.doc_id, r.text)) for r in kept.collect()) == sorted(str((i, t)) for (i, t), e in zip(texts, (plain_contamination([x], items)[0] for x in texts)) if e.endswith("False)"))
     assert decontaminate.contamination(docs(spark, texts), bench.limit(0)).filter("contaminated").count() == 0
     assert decontaminate.contamination(docs(spark, []), bench).count() == 0
+
+
+def test_pages_of_any_length(spark):
+    """Long runs of line ends and tags, tags and scripts that never end; extra columns with the names used inside."""
+    n = 1_000_000
+    htmls = ["a" + "\n" * n + "b", "a" + "<br>" * 300_000 + "b", "a" + "<" * n, "<script>" * 100_000 + "b", "a>b<c>d", "x <SCRIPT>y</script> z <style>q</STYLE><script>w", "", None]
+    rows = sorted((r.i, r.lines) for r in spark.createDataFrame(list(enumerate(htmls)), "i int, html string").select("i", line_dedup.html_lines(F.col("html")).alias("lines")).collect())
+    assert [x for _, x in rows] == [["a", "b"], ["a", "b"], ["a" + "<" * n], ["b"], ["a>b", "d"], ["x", "z", "w"], [], []]
+    table = spark.createDataFrame([("h", ["l", str(i)], i, "c") for i in range(5)] * 2, "host string, lines array<string>, _host int, common string")
+    out = line_dedup.drop_boilerplate(table, 0.5, 3).collect()
+    assert len(out) == 10 and all(r.common == "c" and r.n_lines == 2 and r.lines == [str(r["_host"])] for r in out)
+    pages = spark.createDataFrame([(None, "http://a/x", "p<br>q")] * 2, "lines long, host string, html string")
+    out = line_dedup.dedup_pages(pages, id_col="lines", url_col="host").collect()
+    assert [(r.lines, r.host, r.text) for r in out] == [(None, "a", "p\nq")] * 2
