@@ -1,13 +1,16 @@
 """Exact top-k inner products by a Voronoi kNN join.
 
-A bounded sample of vectors serves as pivots; every vector belongs to the cell of its nearest pivot. Summaries of
-cells (how many vectors, how far from the pivot the nearest and the farthest lie) and of query groups (the queries
-of a cell: their least and greatest product with each pivot, their greatest norm) give, per group, a score
-that at least k vectors are sure to reach, and per group and cell how far from the pivot a vector must lie to have
-any chance of reaching it: <q, x> = <q, p> + <q, x - p> is within |q| |x - p| of <q, p>. Only
-vectors with a chance are sent to a group. Groups are solved locally, cut into blocks of queries and
+A bounded sample of vectors serves as pivots; every vector belongs to the cell of its nearest pivot. Each query is scored
+against another bounded sample, and its k-th best score there is one that its k best are sure to reach. As
+<q, x> = <q, p> + <q, x - p> is within |q| |x - p| of <q, p>, this says how far from each pivot a vector must lie to have
+any chance with the query. Queries of neighbouring cells form groups of about ``block`` queries, so few queries do not
+have the data copied for many small groups; per group and cell the least of its queries' distances is kept, and
+only vectors beyond it are sent to the group. Groups are solved locally, cut into blocks of queries and
 chunks of vectors of bounded size, and the k best of all chunks are merged.
 
+How much is replicated depends on the vectors: where they form clusters most is pruned; where all directions are alike no bound
+by distances prunes, and each group meets all data, which is then copied once for each ``block`` queries.
+
 Scores are exact: vectors are integers (``floor(scale * x)``) and products are summed in 64-bit integers, or in
 doubles where all sums are below 2 ** 53. Bounds are taken with a margin for rounding.
 
@@ -28,10 +31,10 @@ from pyspark.sql import functions as F
 
 from keyfold.llm.shared import written
 
-#: Pivots, each a vector on the driver and in every task.
-PIVOTS = 96
+#: Pivots, each a vector on the driver and in every task; vectors that queries are scored against for their bounds.
+PIVOTS, SAMPLE = 96, 4_096
 #: Bounds of a task: queries of a block, vectors of a chunk.
-BLOCK, CHUNK = 2_048, 16_384
+BLOCK, CHUNK = 8_192, 16_384
 #: Relative margin on bounds that are computed in doubles.
 SLACK = 1e-9
 
@@ -80,61 +83,81 @@ def _best(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> tuple
     return rows[rank < k], by_id[cols[rank < k]]
 
 
-def _bounds(cells: Cells, k: int, data: pd.DataFrame, near: pd.DataFrame, groups: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """For each query group and cell the least distance from the pivot that has a chance (inf: none), and the rows that may come."""
-    m = len(cells.pivots)
-    count, far = np.zeros(m), np.zeros(m)
-    count[data["cell"]], far[data["cell"]] = data["n"], data["far"]
-    least = np.full((m, m), np.inf)
-    expected = np.zeros(m)
-    cell, dist = near["cell"].to_numpy(), near["dist"].to_numpy()
-    for g in groups.itertuples():
-        low, high = np.array(g.low), np.array(g.high)
-        margin = SLACK * (np.abs(low).max() + np.abs(high).max() + g.norm * far.max() + 1)
-        # one vector more than k: the query's own may be among them
-        sure = np.sort(low[cell] - g.norm * dist)[::-1]
-        bound = sure[k] - margin if len(sure) > k else -np.inf
-        need = (bound - high - margin) / max(g.norm, 1e-300) if g.norm > 0 else np.where(high + margin >= bound, -np.inf, np.inf)
-        least[g.cell] = np.where((count > 0) & (far * (1 + SLACK) >= need), need * (1 - SLACK) - SLACK, np.inf)
-        expected[g.cell] = count[np.isfinite(least[g.cell]) | (least[g.cell] == -np.inf)].sum()
-    return least, expected
+def _distinct(ids: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Places of rows that do not repeat both id and vector."""
+    if len(np.unique(ids)) == len(ids):
+        return np.arange(len(ids))
+    return np.sort(np.unique(np.column_stack((ids, v)), axis=0, return_index=True)[1])
+
+
+def _groups(cells: Cells, queries: np.ndarray, block: int) -> np.ndarray:
+    """The group of each cell: neighbouring cells, one after the other, until they have about ``block`` queries."""
+    left, here, out, group, count = set(range(len(queries))), 0, np.zeros(len(queries), np.int64), 0, 0
+    while left:
+        left.discard(here)
+        if count and count + queries[here] > block:
+            group, count = group + 1, 0
+        out[here], count = group, count + queries[here]
+        rest = np.array(sorted(left), np.int64)
+        if len(rest):
+            here = int(rest[((cells.pivots[rest] - cells.pivots[here]) ** 2).sum(1).argmin()])
+    return out
 
 
 def _of_length(rows: DataFrame, k: int, pivots: int, block: int, chunk: int) -> DataFrame:
     """rows: (id, v, asks), all vectors of one length."""
     spark = rows.sparkSession
-    sample = rows.select("id", "v").orderBy(F.xxhash64("id"), "id", F.hash("v")).limit(pivots).toPandas()
-    cells = Cells(np.unique(_matrix(sample["v"]), axis=0))
-    shared = spark.sparkContext.broadcast(cells)
+    sample = rows.select("id", "v").orderBy(F.xxhash64("id"), "id", F.hash("v")).limit(max(pivots, SAMPLE)).toPandas()
+    known, ids = np.stack(sample["v"].to_numpy()), sample["id"].to_numpy()
+    own = _distinct(ids, known)
+    cells = Cells(np.unique(known[:pivots].astype(np.float64), axis=0))
+    shared = spark.sparkContext.broadcast((cells, known[own], ids[own]))
     m = len(cells.pivots)
 
     def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                batch["cell"], batch["dist"] = shared.value.place(_matrix(batch["v"]))
+                batch["cell"], batch["dist"] = shared.value[0].place(_matrix(batch["v"]))
                 yield batch[["id", "v", "asks", "cell", "dist"]]
 
-    def described(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Of each cell's queries in a batch: least and greatest products with all pivots, greatest norm, count."""
+    def needed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Of each group's queries in a batch: per cell the least distance from the pivot that has a chance."""
+        cells, known, ids = shared.value
+        group = groups.value
         for batch in batches:
-            for cell, part in batch.groupby("cell"):
-                v = _matrix(part["v"])
-                products = v @ shared.value.pivots.T
-                yield pd.DataFrame({"cell": [cell], "n": [len(part)], "norm": [np.sqrt((v * v).sum(1)).max()], "low": [products.min(0)], "high": [products.max(0)]})
+            for at in range(0, len(batch), 512):
+                part = batch.iloc[at : at + 512]
+                exact = np.stack(part["v"].to_numpy())
+                scores = np.where(ids[None, :] != part["id"].to_numpy()[:, None], _products(exact, known), np.iinfo(np.int64).min)
+                sure = np.full(len(part), -np.inf)
+                if scores.shape[1] >= k:
+                    best = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+                    sure[best > np.iinfo(np.int64).min] = best[best > np.iinfo(np.int64).min]
+                v = exact.astype(np.float64)
+                norm = np.sqrt((v * v).sum(1))
+                near = v @ cells.pivots.T
+                margin = SLACK * (np.abs(sure[np.isfinite(sure)]).max(initial=0) + np.abs(near).max() + norm.max() + 1)
+                gap = sure[:, None] - near - margin
+                need = np.where(norm[:, None] > 0, gap / np.maximum(norm, 1e-300)[:, None], np.where(gap <= 0, -np.inf, np.inf))
+                need = np.where(need > 0, need * (1 - SLACK) - SLACK, -np.inf)
+                of = group[part["cell"].to_numpy()]
+                for g in np.unique(of):
+                    yield pd.DataFrame({"g": g, "cell": np.arange(m), "need": need[of == g].min(0)})
 
     table = written(rows.mapInPandas(placed, "id long, v array<long>, asks boolean, cell int, dist double"), "cells")
-    asks = table.filter("asks")
-    data = table.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("dist").alias("far")).toPandas()
-    order = Window.partitionBy("cell").orderBy("dist")
-    near = table.select("cell", "dist").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k + 1).select("cell", "dist").toPandas()
-    parts = asks.select("cell", "v").mapInPandas(described, "cell int, n long, norm double, low array<double>, high array<double>")
-    extremes = parts.select("cell", "n", "norm", F.posexplode(F.arrays_zip("low", "high")).alias("p", "b"))
-    extremes = extremes.groupBy("cell", "p").agg(F.sum("n").alias("n"), F.max("norm").alias("norm"), F.min("b.low").alias("low"), F.max("b.high").alias("high"))
-    groups = extremes.toPandas().sort_values(["cell", "p"]).groupby("cell").agg(n=("n", "first"), norm=("norm", "max"), low=("low", list), high=("high", list)).reset_index()
-    least, expected = _bounds(cells, k, data, near, groups)
-    blocks, chunks = np.zeros(m, np.int64), np.zeros(m, np.int64)
-    blocks[groups["cell"]] = -(-groups["n"].to_numpy() // block)
-    chunks[:] = np.maximum(1, -(-expected // chunk))
+    counts = table.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("asks").cast("long")).alias("asks"), F.max("dist").alias("far")).toPandas()
+    count, asks, far = np.zeros(m), np.zeros(m, np.int64), np.full(m, -1.0)
+    count[counts["cell"]], asks[counts["cell"]], far[counts["cell"]] = counts["n"], counts["asks"], counts["far"]
+    group = _groups(cells, asks, block)
+    groups = spark.sparkContext.broadcast(group)
+    needs = table.filter("asks").select("id", "v", "cell").mapInPandas(needed, "g int, cell int, need double").groupBy("g", "cell").agg(F.min("need").alias("need")).toPandas()
+    least = np.full((group.max() + 1, m), np.inf)
+    least[needs["g"], needs["cell"]] = needs["need"]
+    least[:, far < 0] = np.inf
+    least[least > far[None, :] * (1 + SLACK)] = np.inf
+    expected = (np.where(np.isinf(least) & (least > 0), 0, 1) * count[None, :]).sum(1)
+    blocks = -(-np.bincount(group, asks, len(least)).astype(np.int64) // block)
+    chunks = np.maximum(1, -(-expected // chunk)).astype(np.int64)
     plan = spark.sparkContext.broadcast((least, blocks, chunks))
 
     def deal(ids: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -143,14 +166,14 @@ def _of_length(rows: DataFrame, k: int, pivots: int, block: int, chunk: int) ->
     def replicated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         least, blocks, chunks = plan.value
         for batch in batches:
-            cell, dist, ids = (batch[c].to_numpy() for c in ("cell", "dist", "id"))
+            cell, dist, asked = (batch[c].to_numpy() for c in ("cell", "dist", "asks"))
             for g in np.flatnonzero(blocks):
                 take = batch[dist >= least[g, cell]]
                 part = deal(take["id"].to_numpy(), chunks[g])
                 for b in range(blocks[g]):
                     if len(take):
                         yield pd.DataFrame({"g": g, "b": b, "c": part, "ask": False, "id": take["id"], "v": take["v"]})
-                mine = batch[(cell == g) & batch["asks"].to_numpy()]
+                mine = batch[(groups.value[cell] == g) & asked]
                 for c in range(chunks[g]) if len(mine) else ():
                     yield pd.DataFrame({"g": g, "b": deal(mine["id"].to_numpy() * 31 + 7, blocks[g]), "c": c, "ask": True, "id": mine["id"], "v": mine["v"]})
 
@@ -161,6 +184,9 @@ def _of_length(rows: DataFrame, k: int, pivots: int, block: int, chunk: int) ->
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
         q, x = (np.stack(p["v"].to_numpy()) for p in (queries, near))
         own, ids = queries["id"].to_numpy(), near["id"].to_numpy()
+        # rows that repeat id and vector have come to this task together
+        one, two = _distinct(own, q), _distinct(ids, x)
+        q, own, x, ids = q[one], own[one], x[two], ids[two]
         out = []
         for at in range(0, len(q), 256):
             scores = _products(q[at : at + 256], x)
@@ -175,7 +201,7 @@ def _of_length(rows: DataFrame, k: int, pivots: int, block: int, chunk: int) ->
 def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding", pivots: int = PIVOTS, block: int = BLOCK, chunk: int = CHUNK) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k highest products with all rows but its own."""
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), quantized(F.col(vector_col), scale).alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
-    rows = written(rows.filter("id IS NOT NULL AND v IS NOT NULL").dropDuplicates(["id", "v"]), "vectors")
+    rows = written(rows.filter("id IS NOT NULL AND v IS NOT NULL"), "vectors")
     # lengths are few: each is a space of its own
     lengths = [r[0] for r in rows.select(F.size("v").alias("n")).distinct().orderBy("n").collect()]
     found = None

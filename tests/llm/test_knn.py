@@ -52,3 +52,27 @@ def test_best_breaks_ties_by_id(seed):
     for q in range(6):
         expected = sorted((-scores[q, j], ids[j]) for j in range(30) if ids[j] != q)[:7]
         assert [(-scores[q, c], ids[c]) for c in cols[rows == q]] == expected
+
+
+def test_clusters_are_pruned(spark, monkeypatch):
+    """Far clusters: a group of queries meets little more than its own clusters."""
+    rng = np.random.default_rng(1)
+    centers = rng.normal(size=(24, 16)) * 20
+    rows = [(i, [float(x) for x in centers[i % 24] + rng.normal(size=16) * 0.3]) for i in range(3000)]
+    table = spark.createDataFrame([(i, e, "x", 1) for i, e in rows], SCHEMA)
+    sent = []
+    broadcast = spark.sparkContext.broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, x: sent.append(x) or broadcast(x))
+    got = sorted(tuple(r) for r in knn.top_k(table, F.col("vec_id") % 3 == 0, k=5, pivots=24, block=100, chunk=500).collect())
+    assert got == brute(rows, 5)
+    least = next(x[0] for x in sent if isinstance(x, tuple) and len(x) == 3 and getattr(x[0], "ndim", 0) == 2)
+    cells = next(x[0] for x in sent if isinstance(x, tuple) and isinstance(x[0], knn.Cells))
+    cell, dist = cells.place(np.floor(1024 * np.array([e for _, e in rows], np.float32).astype(float)))
+    assert len(least) > 5 and np.mean([dist >= one[cell] for one in least]) < 0.3
+
+
+def test_few_queries_copy_the_data_once(spark):
+    cells = knn.Cells(np.random.default_rng(2).normal(size=(96, 4)))
+    assert set(knn._groups(cells, np.full(96, 5), 8192)) == {0}
+    groups = knn._groups(cells, np.full(96, 5000), 8192)
+    assert len(set(groups)) == 96
