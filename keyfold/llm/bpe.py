@@ -38,13 +38,15 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers import Regex, normalizers, pre_tokenizers
 
+from keyfold.llm.shared import map_slices
+
 #: The White_Space property of Unicode.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 #: White space for str.split() and not for Unicode; texts with these take the slower split.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 CHUNKS = re.compile(f"[^{SPACE}]+")
 #: Bounds on remembered chunks of a generation (two are kept), pairs and beginnings of pieces.
-REMEMBERED, PAIRS, BEGINNINGS = 250_000, 600_000, 100_000
+REMEMBERED, PAIRS, BEGINNINGS = 200_000, 400_000, 60_000
 #: Longer chunks and pieces are not remembered.
 LONGEST = 64
 #: Chunks that are hashed and decoded at a time.
@@ -401,7 +403,7 @@ def encode_decode(docs: DataFrame, path: str | Callable[[], str], id_col: str =
             n, ids, decoded = zip(*rows) if rows else ((), (), ())
             yield pd.DataFrame({id_col: batch.iloc[:, 0], "n_tokens": n, "ids_sha256": ids, "decoded_sha256": decoded})
 
-    return docs.select(id_col, text_col).mapInPandas(run, f"`{id_col}` {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_slices(docs.select(id_col, text_col), run, f"`{id_col}` {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encode(docs: DataFrame, path: str | Callable[[], str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -414,7 +416,7 @@ def encode(docs: DataFrame, path: str | Callable[[], str], id_col: str = "doc_id
             ids = [array("I", b"".join(coder.stream(t if t is not None else ""))).tolist() for t in batch.iloc[:, 1]]
             yield pd.DataFrame({id_col: batch.iloc[:, 0], "ids": ids})
 
-    return docs.select(id_col, text_col).mapInPandas(run, f"`{id_col}` {id_type}, ids array<long>")
+    return map_slices(docs.select(id_col, text_col), run, f"`{id_col}` {id_type}, ids array<long>")
 
 
 def decode(encoded: DataFrame, path: str | Callable[[], str], id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -427,4 +429,4 @@ def decode(encoded: DataFrame, path: str | Callable[[], str], id_col: str = "doc
             texts = [TextDecoder(names).feed(array("I", [] if ids is None else list(ids)).tobytes(), True) for ids in batch.iloc[:, 1]]
             yield pd.DataFrame({id_col: batch.iloc[:, 0], "text": texts})
 
-    return encoded.select(id_col, ids_col).mapInPandas(run, f"`{id_col}` {id_type}, text string")
+    return map_slices(encoded.select(id_col, ids_col), run, f"`{id_col}` {id_type}, text string")

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from keyfold.llm.components import components
-from keyfold.llm.shared import written
+from keyfold.llm.shared import map_slices, written
 
 SEED = 42
 #: Texts that share a shingle: up to so many are compared in all pairs at once.
@@ -132,7 +132,7 @@ def _common(docs: DataFrame, shingle: int) -> np.ndarray:
             yield pd.DataFrame({"node": [n for _, n in found], "tokens": [hashes(w, shingle) for w, _ in found]})
 
     sample = docs.filter(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select("text")
-    tokens = sample.mapInPandas(run, "node long, tokens array<long>").dropDuplicates(["node"]).select(F.explode("tokens").alias("token"))
+    tokens = map_slices(sample, run, "node long, tokens array<long>").dropDuplicates(["node"]).select(F.explode("tokens").alias("token"))
     counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= COMMON)
     return np.sort(counts.orderBy(F.desc("n"), "token").limit(MOST).select("token").toPandas()["token"].to_numpy(np.int64))
 
@@ -186,7 +186,7 @@ def similar_rows(docs: DataFrame, shingle: int, least: float, id_col: str, text_
             good = [similarity(x, y, shingle) >= least for x, y in zip(batch["words_a"], batch["words_b"])]
             yield batch[["a", "b"]][np.array(good, bool)]
 
-    prints = written(docs.mapInPandas(printed, f"id {id_type}, digest long, node long, size int, first array<long>"), "prints")
+    prints = written(map_slices(docs, printed, f"id {id_type}, digest long, node long, size int, first array<long>"), "prints")
     nodes = written(prints.groupBy("node").agg(F.min(F.struct("id", "digest")).alias("first_one")), "nodes")
     postings = prints.select("node", "size", "first").dropDuplicates(["node"]).select("node", "size", F.posexplode("first").alias("at", "token"))
     rows = prints.agg(F.sum(F.size("first"))).first()[0] or 0
@@ -201,9 +201,9 @@ def similar_rows(docs: DataFrame, shingle: int, least: float, id_col: str, text_
             of = nodes.join(ends, "node").select("node", F.col("first_one.id").alias("id"))
             # an id may stand for several texts; those that were not asked for find no pair
             wanted = docs.join(of.select("id").distinct(), "id", "left_semi")
-            texts = written(wanted.mapInPandas(worded, "node long, words binary").dropDuplicates(["node"]), "texts")
+            texts = written(map_slices(wanted, worded, "node long, words binary").dropDuplicates(["node"]), "texts")
             one, two = (texts.select(F.col("node").alias(x), F.col("words").alias(f"words_{x}")) for x in "ab")
-            passed = written(pairs.join(one, "a").join(two, "b").mapInPandas(compared, "a long, b long"), "passed")
+            passed = written(map_slices(pairs.join(one, "a").join(two, "b"), compared, "a long, b long"), "passed")
             good = passed if good is None else good.unionByName(passed)
             labels = components(good)
         if not more:

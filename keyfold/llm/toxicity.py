@@ -25,16 +25,17 @@ from zlib import crc32
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyfold.llm.shared import written
+from keyfold.llm.shared import SLICE, map_slices, written
 
 BITS = 20
 TOKENS = re.compile(r"\w+|[^\w\s]+")
 STEM = 5
 #: Words that a worker remembers the hashes of; when full they are forgotten.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Fixed odd multipliers and offsets that tell the kinds of features apart.
 WORD, BEGINNING, PAIR, SKIP = (np.uint64(x) for x in (1, 3 << 40, 7 << 40, 11 << 40))
@@ -135,7 +136,7 @@ def train(docs: DataFrame, labels: DataFrame, model: Ftrl, sample_rows: int, id_
         places, weights = model.fit(examples, labels)
         yield pd.DataFrame({"place": places, "weight": weights})
 
-    rows = texts.select("o", "y", "text").mapInPandas(featured, "o long, y int, x binary")
+    rows = map_slices(texts.select("o", "y", "text"), featured, "o long, y int, x binary")
     return written(rows.repartition(1).sortWithinPartitions("o", "x").mapInPandas(fitted, "place long, weight double"), "weights")
 
 
@@ -160,11 +161,12 @@ def scores(weights: DataFrame):
     places, values = np.array([r["place"] for r in rows], np.int64), np.array([r["weight"] for r in rows])
     shared = weights.sparkSession.sparkContext.broadcast((places, values))
 
-    @F.pandas_udf("double")
-    def scored(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def scored(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = Scorer(*shared.value)
         for batch in texts:
-            yield pd.Series([scorer(t) for t in batch], dtype=float)
+            slices = (batch.slice(at, SLICE).to_pylist() for at in range(0, len(batch), SLICE))
+            yield pa.array([scorer(t) for part in slices for t in part], pa.float64())
 
     return scored
 
