@@ -1,12 +1,14 @@
 """Secret scan through a trigram inverted index.
 
 Every rule's regular expression is compiled to a Boolean query over trigrams that any match must
-contain. Each Arrow batch of documents is an index segment: postings (which documents of the segment
-hold a trigram) are built for the trigrams that the rules ask for, the queries intersect and unite
-postings, and only the candidates left are verified with the expression. A rule without a mandatory
-trigram scans the whole segment. Segments are independent, so the scan needs no shuffle, its
+contain. Each slice of an Arrow batch is an index segment: one pass over its bytes finds where any trigram stands that
+a rule asks for, and gives each such trigram its posting list (the sorted documents of the segment that hold it). The
+queries intersect and unite posting lists, and only the candidates left are verified with the expression. A rule
+without a mandatory trigram scans the whole segment. Segments are independent, so the scan needs no shuffle, its
 memory is bounded by a batch, and a lost task is simply run again.
 
+Trigrams are three bytes in ASCII, A-Z lower-cased; what a rule asks for outside ASCII is left to the verification.
+
 Defined results: a null text counts as empty; an empty text has no findings; repeated rows give a row
 each; a null id is kept; an empty table gives an empty result; other columns are ignored. Offsets
 are code points of the whole text.
@@ -20,11 +22,16 @@ from dataclasses import dataclass, field
 from hashlib import sha256
 from itertools import product
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from keyfold.llm.shared import map_slices
+
 #: Above so many alternatives a run of literals is cut; the query only gets weaker, never wrong.
 MAX_ALTERNATIVES = 64
+#: Bytes of a segment that are looked at in one step.
+PASS = 1 << 19
 
 
 @dataclass(frozen=True)
@@ -90,8 +97,8 @@ def _or(parts: Iterable[Query]) -> Query:
 
 
 def _of_string(s: str) -> Query:
-    s = s.lower()
-    return _and(Query("tri", (s[i : i + 3],)) for i in range(len(s) - 2))
+    grams = (s.lower()[i : i + 3] for i in range(len(s) - 2))
+    return _and(Query("tri", (g,)) for g in grams if g.isascii())
 
 
 def _finite(node) -> set[str] | None:
@@ -170,44 +177,88 @@ def _of_sequence(items) -> Query:
     return _and(parts)
 
 
-def trigram_query(pattern: str) -> Query:
-    """What any match of ``pattern`` must contain, over lower-cased text."""
+def trigram_query(pattern: str, flags: int = re.ASCII) -> Query:
+    """What any match of ``pattern`` must contain, over text with A-Z lower-cased.
+
+    Without the ASCII flag, letters that ignore case may stand for letters outside ASCII; such a rule asks for nothing.
+    """
     from re import _parser  # the standard library's own parser of expressions
 
+    if flags & re.IGNORECASE and not flags & re.ASCII:
+        return ALL
     return _of_sequence(_parser.parse(pattern))
 
 
+def numbered(grams: list[str]) -> np.ndarray:
+    """Numbers from 1 on for trigrams, by their three bytes; 0 for all others."""
+    out = np.zeros(1 << 24, np.uint16)
+    for i, gram in enumerate(grams):
+        out[int.from_bytes(gram.encode(), "big")] = i + 1
+    return out
+
+
 class Segment:
-    """Inverted index of one block of texts. A posting list is built when a query first asks for its trigram,
-    and only among the documents that the query has left."""
+    """Inverted index of one block of texts: posting lists of the trigrams that were asked for."""
 
     def __init__(self, texts: list[str]):
-        self.folded = [t.lower() for t in texts]
-
-    def select(self, query: Query, among: list[int] | None = None) -> list[int]:
-        """Ascending places of the documents, of those in ``among``, that satisfy the query."""
-        among = list(range(len(self.folded))) if among is None else among
+        folded = [t.encode("utf-8", "surrogatepass").lower() for t in texts]
+        #: All texts with a byte between them that no trigram holds, and where each ends.
+        self.bytes = np.frombuffer(b"\xff".join(folded), np.uint8)
+        self.ends = np.cumsum([len(t) + 1 for t in folded])
+        self.every = np.arange(len(texts))
+        self.postings: dict[str, np.ndarray] = {}
+
+    def _index(self, grams: Iterable[str]) -> None:
+        """Posting lists of new trigrams, in one pass over the bytes."""
+        new = [g for g in dict.fromkeys(grams) if g not in self.postings]
+        if not new:
+            return
+        self.fill(new, numbered(new))
+
+    def fill(self, grams: list[str], asked: np.ndarray) -> None:
+        """The pass: ``asked`` has the number of each trigram, counted from 1."""
+        found = []
+        for at in range(0, len(self.bytes) - 2, PASS):
+            x = self.bytes[at : at + PASS + 2].astype(np.uint32)
+            which = asked[x[:-2] << 16 | x[1:-1] << 8 | x[2:]]
+            places = np.flatnonzero(which)
+            found.append(np.unique(which[places].astype(np.int64) << 32 | np.searchsorted(self.ends, at + places, "right")))
+        pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        begins = np.searchsorted(pairs, np.arange(1, len(grams) + 2) << 32)
+        for i, gram in enumerate(grams):
+            self.postings[gram] = pairs[begins[i] : begins[i + 1]] & 0xFFFFFFFF
+
+    def select(self, query: Query) -> np.ndarray:
+        """Ascending places of the documents that satisfy the query."""
+        self._index(query.trigrams())
+        return self._answer(query)
+
+    def _answer(self, query: Query) -> np.ndarray:
         if query.op == "all":
-            return among
+            return self.every
         if query.op == "tri":
-            gram, folded = query.args[0], self.folded
-            return [i for i in among if gram in folded[i]]
-        if query.op == "and":
-            for part in query.args:
-                among = self.select(part, among)
-            return among
-        return sorted(set().union(*(self.select(part, among) for part in query.args)))
+            return self.postings[query.args[0]]
+        lists = sorted(map(self._answer, query.args), key=len)
+        if query.op == "or":
+            return np.unique(np.concatenate(lists))
+        out = lists[0]
+        for other in lists[1:]:
+            out = np.intersect1d(out, other, assume_unique=True)
+        return out
 
 
 class Scanner:
     """The rules with their trigram queries; ``scan`` finds the spans of a block of texts."""
 
     def __init__(self, rules: tuple[Rule, ...]):
-        self.rules = [(r, re.compile(r.pattern, r.flags), trigram_query(r.pattern)) for r in rules]
+        self.rules = [(r, re.compile(r.pattern, r.flags), trigram_query(r.pattern, r.flags)) for r in rules]
+        self.grams = sorted(set().union(*(q.trigrams() for _, _, q in self.rules)))
+        self.asked = numbered(self.grams)
 
     def scan(self, texts: list[str]) -> list[list[tuple[int, int, int]]]:
         """For each text its (start, place of the rule, end), sorted."""
         segment = Segment(texts)
+        segment.fill(self.grams, self.asked)
         found: list[list[tuple[int, int, int]]] = [[] for _ in texts]
         for place, (rule, compiled, query) in enumerate(self.rules):
             for i in segment.select(query):
@@ -237,4 +288,4 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             out["spans"] = [",".join(t) for t in told]
             yield pd.DataFrame(out)
 
-    return docs.select(id_col, text_col).mapInPandas(run, schema)
+    return map_slices(docs.select(id_col, text_col), run, schema)

@@ -53,6 +53,44 @@ def test_trigram_query_never_misses():
     assert secret_scan.trigram_query("[0-9a-f]{16,}").op == "all"
 
 
+def test_posting_lists_hold_what_texts_hold():
+    rng = random.Random(7)
+    texts = ["".join(rng.choice("abAB\u00e9\u212a ") for _ in range(rng.choice((0, 1, 2, 3, 50, 3000)))) for _ in range(300)]
+    grams = ["aba", "bbb", "a b", "   ", "xyz"]
+    query = secret_scan.Query("and", (secret_scan.Query("or", tuple(secret_scan.Query("tri", (g,)) for g in grams[:3])), secret_scan.Query("tri", (grams[3],))))
+    segment = secret_scan.Segment(texts)
+    got = segment.select(query).tolist()
+    fold = [t.encode().lower().decode() for t in texts]
+    assert got == [i for i, t in enumerate(fold) if any(g in t for g in grams[:3]) and grams[3] in t] and 0 < len(got) < 250
+    for g in grams:
+        assert segment.select(secret_scan.Query("tri", (g,))).tolist() == [i for i, t in enumerate(fold) if g in t]
+    assert secret_scan.Segment([]).select(query).tolist() == [] and secret_scan.Segment(["", ""]).select(secret_scan.ALL).tolist() == [0, 1]
+
+
+def test_only_candidates_are_verified(monkeypatch):
+    scanner, read = secret_scan.Scanner(secret_scan.BASE_RULES[:2]), []
+
+    class Watched:
+        def __init__(self, pattern):
+            self.pattern = pattern
+
+        def finditer(self, text):
+            read.append(text)
+            return self.pattern.finditer(text)
+
+    scanner.rules = [(r, Watched(p), q) for r, p, q in scanner.rules]
+    texts = ["nothing here", "akia", "PASSWORD: abcdefghijkl", "pass word", "AKIA" + "0" * 20, "x" * 100_000]
+    found = scanner.scan(texts)
+    assert read == [texts[2], texts[1], texts[4]] and [len(f) for f in found] == [0, 0, 1, 0, 1, 0]
+
+
+def test_secret_rows_of_odd_tables(spark):
+    rows = [(None, "AKIA" + "Z" * 14, "a"), (None, "AKIA" + "Z" * 14, "a"), (1, "token=" + "q" * 500_000, "b"), (2, "ab" * 400_000, "c")]
+    table = spark.createDataFrame(rows, "spans long, text string, n_hex string")
+    out = {(r.spans, r.n_assign, r.n_access, r.n_hex, r[5]) for r in secret_scan.scan_secrets(table.withColumnRenamed("spans", "id"), id_col="id").select("id", "n_assign", "n_access", "n_hex", "base_sha256", "spans").withColumnRenamed("id", "key").selectExpr("key as spans", "n_assign", "n_access", "n_hex", "base_sha256", "spans as told").collect()}
+    assert out == {(None, 0, 1, 0, "access:0:18"), (1, 1, 0, 0, "assign:0:500006"), (2, 0, 0, 1, "hex:0:800000")}
+
+
 def test_secret_rows(spark):
     key = "-----BEGIN RSA PRIVATE KEY-----"
     texts = ["", None, "token = 'abcdefghijkl' " + key, "é AKIA" + "Z" * 14]
