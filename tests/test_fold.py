@@ -100,3 +100,25 @@ def test_ttl_rounds_up(spark):
     rows = [(0, 0, "array", "SETEX", "k", "v", 2001), (1, 1000, "array", "TTL", "k", None, None), (2, 1001, "array", "TTL", "k", None, None), (3, 2000, "array", "TTL", "k", None, None)]
     got = {r.seq: r.reply for r in fold.replies(spark.createDataFrame(rows, COMMAND)).collect()}
     assert (got[1], got[2], got[3]) == ("2", "1", "1")
+
+
+@pytest.mark.parametrize("engine", ["array", "hash", "skiplist"])
+def test_hot_keys_are_folded_in_ranges(spark, monkeypatch, engine):
+    """One key holds nearly all commands; in ranges the replies, states and effective commands are the same."""
+    rows = [(s, t, e, op, "hot" if s % 10 else k, v, ttl) for s, t, e, op, k, v, ttl in random_log(21, engine, 1500, 20)]
+    log = spark.createDataFrame(rows, COMMAND)
+    whole = [sorted(map(str, f.collect())) for f in (fold.replies(log), fold.state(log), fold.effective(log))]
+    expected, _ = simulated(rows, engine)
+    assert {r.seq: r.reply for r in fold.replies(log).collect()} == expected
+    cut = fold._cut
+    monkeypatch.setattr(fold, "LEAST_BYTES", 0)
+    monkeypatch.setattr(fold, "_cut", lambda log, _: cut(log, 100))
+    parts = cut(log, 100).filter("key = 'hot'").groupBy("__part").count().collect()
+    assert len(parts) > 40 and max(r["count"] for r in parts) < 100
+    assert [sorted(map(str, f.collect())) for f in (fold.replies(log), fold.state(log), fold.effective(log))] == whole
+
+
+def test_extra_columns_may_have_any_names(spark):
+    log = spark.createDataFrame([(1, 0, "array", "SET", "k", "v", None, "x", 7)], "seq long, ts_ms long, engine string, op string, key string, value string, ttl_ms long, stored string, val int")
+    assert [r.asDict() for r in fold.effective(log).collect()] == [r.asDict() for r in log.collect()]
+    assert fold.replies(log).first().reply == "OK"
