@@ -83,3 +83,14 @@ def encode_reply(kind: Column, text: Column) -> Column:
         .when(text.isNull(), F.lit("$-1\r\n"))
         .otherwise(bulk(text))
     )
+
+
+def encode_match(question: Column, answer: Column) -> Column:
+    """The reply to a lookup by question: two bulk strings, or an empty array for a null question."""
+    return F.when(question.isNull(), F.lit("*0\r\n")).otherwise(F.concat(F.lit("*2\r\n"), bulk(question), bulk(answer)))
+
+
+def encode_matches(matches: Column) -> Column:
+    """The reply to a search: an array of (question, answer, score), each an array of three bulk strings, the score with six decimals."""
+    one = lambda m: F.concat(F.lit("*3\r\n"), bulk(m["question"]), bulk(m["answer"]), bulk(F.format_string("%.6f", m["score"])))
+    return F.concat(F.lit("*"), F.size(matches).cast("string"), F.lit("\r\n"), F.array_join(F.transform(matches, one), ""))

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from keyfold.functions.expressions import cosine, norm, parse_vector
 
 #: Most results of a search.
 MOST = 128
-#: Queries that are scored against every stored vector in one pass.
-QUERY_BLOCK = 512
+#: Queries and vectors that meet in one task.
+QUERY_BLOCK, VECTOR_CHUNK = 8_192, 16_384
 
 
 def validated(rows: DataFrame) -> DataFrame:
@@ -56,29 +60,88 @@ def nearest(vectors: DataFrame, query: list[float], threshold: float) -> DataFra
     return search(vectors, query, 1, threshold)
 
 
-def search_many(vectors: DataFrame, queries: DataFrame, k: int, threshold: float | None = None, block: int = QUERY_BLOCK) -> DataFrame:
-    """Top k for each row of ``queries`` (query_id, q). A block of queries, of bounded size, meets all stored vectors at a time."""
-    queries = queries.select("query_id", "q", norm(F.col("q")).alias("q_norm"), F.size("q").alias("q_dim"))
-    blocks = -(-queries.count() // block)
-    numbered = queries.withColumn("b", F.pmod(F.xxhash64("query_id"), F.lit(max(blocks, 1))))
-    found = None
-    for b in range(max(blocks, 1)):
-        part = F.broadcast(numbered.filter(F.col("b") == b).drop("b"))
-        rows = vectors.join(part, F.size("vector") == F.col("q_dim")).select("query_id", "question", "answer", cosine(F.col("vector"), F.col("norm"), F.col("q"), F.col("q_norm")).alias("score"))
-        found = rows if found is None else found.unionByName(rows)
-    found = found.filter(F.col("score").isNotNull())
-    if threshold is not None:
-        found = found.filter(F.col("score") >= threshold)
+def get(vectors: DataFrame, question: str) -> DataFrame:
+    """The vector stored under a question: (question, answer), or no row."""
+    return vectors.filter(F.col("question") == question).select("question", "answer")
+
+
+def get_many(questions: DataFrame, vectors: DataFrame) -> DataFrame:
+    """``questions`` with the answer stored under each ``question``, or null."""
+    named = vectors.select(F.col("question").alias("__question"), F.col("answer").alias("__answer"))
+    joined = questions.drop("answer").join(named, questions["question"] == named["__question"], "left")
+    return joined.withColumn("answer", F.col("__answer")).drop("__question", "__answer")
+
+
+def _best(queries: pd.DataFrame, vectors: pd.DataFrame, k: int, threshold: float | None) -> pd.DataFrame:
+    """Top k of a block's vectors for each of its queries. A matrix product finds those that may count; their scores are then
+    summed alike wherever they stand, so that equal vectors have equal scores."""
+    q, v = (np.stack(x.to_numpy()).astype(np.float64) for x in (queries["vector"], vectors["vector"]))
+    q_norm, v_norm = queries["norm"].to_numpy(), vectors["norm"].to_numpy()
+    out = []
+    for at in range(0, len(q), 256):
+        near = (q[at : at + 256] @ v.T) / np.outer(q_norm[at : at + 256], v_norm)
+        k = min(k, near.shape[1])
+        least = np.partition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k] - 1e-9
+        if threshold is not None:
+            least = np.maximum(least, threshold - 1e-9)
+        i, j = np.nonzero(near >= least[:, None])
+        i += at
+        score = (q[i] * v[j]).sum(1) / (q_norm[i] * v_norm[j])
+        found = pd.DataFrame({"query_id": queries["id"].to_numpy()[i], "question": vectors["id"].to_numpy()[j], "answer": vectors["answer"].to_numpy()[j], "score": score})
+        found = found if threshold is None else found[found["score"] >= threshold]
+        out.append(found.sort_values(["query_id", "score", "question"], ascending=[True, False, True]).groupby("query_id").head(k))
+    return pd.concat(out)
+
+
+def search_many(vectors: DataFrame, queries: DataFrame, k: int, threshold: float | None = None, block: int = QUERY_BLOCK, chunk: int = VECTOR_CHUNK) -> DataFrame:
+    """Top k for each row of ``queries`` (query_id, q).
+
+    Queries are dealt out to blocks and vectors to chunks of bounded size; each block meets each chunk in one task, which keeps
+    its k best, and these are merged. Both tables are read once, whatever their sizes.
+    """
+    if k <= 0:
+        raise ValueError("ERR invalid vector search args")
+    k = min(k, MOST)
+    asked = queries.select("query_id", F.col("q").alias("vector"), norm(F.col("q")).alias("norm")).filter("norm > 0")
+    blocks, chunks = max(1, -(-asked.count() // block)), max(1, -(-vectors.count() // chunk))
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    doubles = F.col("vector").cast("array<double>").alias("vector")
+    left = asked.select(F.size("vector").alias("n"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("b"), numbers(chunks).alias("c"), F.col("query_id").alias("id"), doubles, "norm")
+    right = vectors.filter("norm > 0").select(F.size("vector").alias("n"), numbers(blocks).alias("b"), F.pmod(F.xxhash64("question"), F.lit(chunks)).cast("int").alias("c"), F.col("question").alias("id"), "answer", doubles, "norm")
+    schema = asked.select("query_id").limit(0).select("query_id", F.lit("").alias("question"), F.lit("").alias("answer"), F.lit(0.0).alias("score")).schema
+
+    arrow = to_arrow_schema(schema)
+
+    def run(queries: pa.Table, vectors: pa.Table) -> pa.Table:
+        if not queries.num_rows or not vectors.num_rows:
+            return arrow.empty_table()
+        return pa.Table.from_pandas(_best(queries.to_pandas(), vectors.to_pandas(), k, threshold), schema=arrow, preserve_index=False)
+
+    found = left.groupBy("n", "b", "c").cogroup(right.groupBy("n", "b", "c")).applyInArrow(run, schema)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "question")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= min(k, MOST))
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def _near(vectors: DataFrame, queries: DataFrame, n: int, threshold: float, tables: int, width: float) -> DataFrame:
+    """Pairs (query_id, question, answer, score) that random projections bring together and whose exact score reaches the threshold."""
+    unit = lambda v, size: array_to_vector(F.transform(v, lambda x: x.cast("double") / size))
+    stored = vectors.filter(F.size("vector") == n).select("question", "answer", "vector", "norm", unit(F.col("vector"), F.col("norm")).alias("unit"))
+    asked = queries.filter(F.size("q") == n).withColumn("q_norm", norm(F.col("q"))).filter("q_norm > 0")
+    asked = asked.select("query_id", "q", "q_norm", unit(F.col("q"), F.col("q_norm")).alias("unit"))
+    model = BucketedRandomProjectionLSH(inputCol="unit", outputCol="hashes", bucketLength=width, numHashTables=tables, seed=42).fit(stored)
+    near = model.approxSimilarityJoin(stored, asked, max(0.0, 2 - 2 * threshold) ** 0.5 + 1e-6, "distance")
+    score = cosine(F.col("datasetA.vector"), F.col("datasetA.norm"), F.col("datasetB.q"), F.col("datasetB.q_norm"))
+    rows = near.select("datasetB.query_id", "datasetA.question", "datasetA.answer", score.alias("score"))
+    return rows.filter(F.col("score") >= threshold)
 
 
-def search_lsh(vectors: DataFrame, query: list[float], k: int, threshold: float, tables: int = 8, width: float = 1.0) -> DataFrame:
+def search_lsh(vectors: DataFrame, query: list[float], k: int, threshold: float, tables: int = 8, width: float = 1.5) -> DataFrame:
     """Approximate search: candidates from random projections of unit vectors (a cosine of at least the threshold is a distance of at most sqrt(2 - 2 threshold)), scored exactly."""
-    size = sum(x * x for x in query) ** 0.5
-    unit = vectors.filter(F.size("vector") == len(query)).withColumn("unit", array_to_vector(F.transform("vector", lambda x: x.cast("double") / F.col("norm"))))
-    model = BucketedRandomProjectionLSH(inputCol="unit", outputCol="hashes", bucketLength=width, numHashTables=tables, seed=42).fit(unit)
-    one = vectors.sparkSession.createDataFrame([([float(x) / size for x in query],)], "u array<double>").select(array_to_vector("u").alias("unit"))
-    near = model.approxSimilarityJoin(unit, one, (2 - 2 * threshold) ** 0.5 + 1e-6, "distance")
-    rows = near.select("datasetA.question", "datasetA.answer", "datasetA.vector", "datasetA.norm")
-    return search(rows, query, k, threshold)
+    one = vectors.sparkSession.createDataFrame([(0, [float(x) for x in query])], "query_id int, q array<double>")
+    rows = _near(vectors, one, len(query), threshold, tables, width).drop("query_id")
+    return rows.orderBy(F.desc("score"), "question").limit(min(k, MOST))
+
+
+def search_lsh_many(vectors: DataFrame, queries: DataFrame, n: int, threshold: float, tables: int = 8, width: float = 1.5) -> DataFrame:
+    """(query_id, question, answer, score): approximately all vectors of ``n`` components that reach the threshold, for each row of ``queries`` (query_id, q)."""
+    return _near(vectors, queries, n, threshold, tables, width)

@@ -325,7 +325,18 @@ def vset_overwrite(spark, sf_dir):
 
 @query("SELECT 'vec:' || vec_id AS question, 'label:' || label AS answer FROM embeddings WHERE vec_id = 17")
 def vget_key(spark, sf_dir):
-    return T.vectors(spark, sf_dir).filter(F.col("question") == "vec:17").select("question", "answer")
+    return vector.get(T.vectors(spark, sf_dir), "vec:17")
+
+
+@query("""WITH q AS (SELECT 'vec:' || (vec_id * 2) AS question FROM embeddings), v AS (SELECT 'vec:' || vec_id AS question, 'label:' || label AS answer FROM embeddings),
+r AS (SELECT q.question, answer FROM q LEFT JOIN v USING (question))
+SELECT question, answer, CASE WHEN answer IS NULL THEN '*0' || chr(13) || chr(10) ELSE '*2' || chr(13) || chr(10) || '$' || strlen(question) || chr(13) || chr(10) || question || chr(13) || chr(10)
+  || '$' || strlen(answer) || chr(13) || chr(10) || answer || chr(13) || chr(10) END AS wire FROM r""")
+def vget_many(spark, sf_dir):
+    """Every stored name with twice its number: half of them are missing."""
+    names = T.table(spark, sf_dir, "embeddings").select(F.concat(F.lit("vec:"), (F.col("vec_id") * 2).cast("string")).alias("question"))
+    found = vector.get_many(names, T.vectors(spark, sf_dir))
+    return found.withColumn("wire", X.encode_match(F.when(F.col("answer").isNotNull(), F.col("question")), F.col("answer")))
 
 
 COSINE = "list_cosine_similarity(v.vector::DOUBLE[], (SELECT embedding FROM embeddings WHERE vec_id = {n})::DOUBLE[])"
@@ -350,15 +361,29 @@ def vsearch_threshold(spark, sf_dir):
 
 
 @query(f"""WITH {VEC_SQL}, s AS (
-  SELECT q.seq AS query_id, v.question, list_cosine_similarity(v.vector::DOUBLE[], q.vector::DOUBLE[]) AS c FROM v, v q WHERE q.seq < 20),
+  SELECT q.seq AS query_id, v.question, list_cosine_similarity(v.vector::DOUBLE[], q.vector::DOUBLE[]) AS c FROM v, v q WHERE q.seq % 20 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, question) AS rank FROM s WHERE c >= 0.1)
 SELECT query_id, rank::INT AS rank, question, round(c, 6) AS score FROM r WHERE rank <= 3""")
 def vsearch_multi(spark, sf_dir):
-    queries = T.table(spark, sf_dir, "embeddings").filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    queries = T.table(spark, sf_dir, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     found = vector.search_many(T.vectors(spark, sf_dir), queries, 3, 0.1)
     return found.select("query_id", "rank", "question", F.round("score", 6).alias("score"))
 
 
+@query(f"""WITH {VEC_SQL}, s AS (
+  SELECT q.seq AS query_id, v.question, v.answer, list_cosine_similarity(v.vector::DOUBLE[], q.vector::DOUBLE[]) AS c FROM v, v q WHERE q.seq % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, question) AS rank FROM s),
+m AS (SELECT query_id, rank, '*3' || chr(13) || chr(10) || '$' || strlen(question) || chr(13) || chr(10) || question || chr(13) || chr(10) || '$' || strlen(answer) || chr(13) || chr(10) || answer || chr(13) || chr(10)
+  || '$' || strlen(printf('%.6f', c)) || chr(13) || chr(10) || printf('%.6f', c) || chr(13) || chr(10) AS one FROM r WHERE rank <= 2)
+SELECT query_id, '*' || count(*) || chr(13) || chr(10) || string_agg(one, '' ORDER BY rank) AS wire FROM m GROUP BY query_id""")
+def vsearch_wire(spark, sf_dir):
+    """The two best matches as the nested reply on the wire."""
+    queries = T.table(spark, sf_dir, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    found = vector.search_many(T.vectors(spark, sf_dir), queries, 2)
+    matches = found.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "question", "answer", "score"))).alias("m"))
+    return matches.select("query_id", X.encode_matches(F.col("m")).alias("wire"))
+
+
 @query("SELECT vec_id, array_to_string(list_transform(embedding, lambda x: printf('%.6f', x::DOUBLE)), ',') AS text, len(embedding)::INT AS n FROM embeddings")
 def vector_text_roundtrip(spark, sf_dir):
     rows = T.table(spark, sf_dir, "embeddings").select("vec_id", X.vector_text(F.col("embedding")).alias("text"))
@@ -523,6 +548,20 @@ def vsearch_lsh(spark, sf_dir):
     return found.select("question", "answer", F.round("score", 6).alias("score"))
 
 
+@query(f"""WITH {VEC_SQL} SELECT count(*)::BIGINT AS n_pairs, true AS recall_reached FROM v, v q WHERE q.seq % 20 = 0
+  AND list_cosine_similarity(v.vector::DOUBLE[], q.vector::DOUBLE[]) >= 0.3""")
+def vsearch_lsh_recall(spark, sf_dir):
+    """The approximate search against the exact one: pairs with a cosine of 0.3 or more, and whether nine tenths of them or more are found."""
+    stored = T.vectors(spark, sf_dir)
+    queries = T.table(spark, sf_dir, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    asked = queries.select("query_id", F.col("q").alias("query"), X.norm(F.col("q")).alias("q_norm"))
+    exact = stored.join(F.broadcast(asked) if asked.count() <= 10_000 else asked, F.size("vector") == F.size("query"))
+    exact = exact.filter(X.cosine(F.col("vector"), F.col("norm"), F.col("query"), F.col("q_norm")) >= 0.3).select("query_id", "question")
+    found = vector.search_lsh_many(stored, queries, 64, 0.3).select("query_id", "question", F.lit(1).alias("hit"))
+    both = exact.join(found, ["query_id", "question"], "left").agg(F.count(F.lit(1)).alias("n_pairs"), F.count("hit").alias("n"))
+    return both.select("n_pairs", (F.col("n") >= 0.9 * F.col("n_pairs")).alias("recall_reached"))
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from keyfold.operators import vector
@@ -27,6 +29,27 @@ def test_search_many_in_blocks(spark, stored):
     assert whole == parts and len(whole) == 18
 
 
+def test_search_many_equals_search(spark):
+    rng = random.Random(1)
+    rows = [(f"q{i}", f"a{i}", [float(rng.randrange(-2, 3)) for _ in range(4 if i % 7 else 3)]) for i in range(200)]  # many ties
+    stored = vector.stored(spark.createDataFrame(rows, "question string, answer string, vector array<float>"))
+    asked = [(i, rows[i][2]) for i in range(0, 40, 3)] + [(900, [0.0] * 4), (901, None), (902, [1.0])]
+    queries = spark.createDataFrame(asked, "query_id int, q array<double>")
+    got = vector.search_many(stored, queries, 5, 0.2, block=4, chunk=30).collect()
+    for i, q in asked[:-3]:
+        if any(q):
+            exact = [(r.question, r.answer, round(r.score, 9)) for r in vector.search(stored, q, 5, 0.2).collect()]
+            assert [(r.question, r.answer, round(r.score, 9)) for r in sorted((r for r in got if r.query_id == i), key=lambda r: r["rank"])] == exact
+    assert {r.query_id for r in got} <= {i for i, _ in asked[:-3]}
+    assert vector.search_many(stored, queries.limit(0), 5).count() == 0 and vector.search_many(stored.limit(0), queries, 5).count() == 0
+
+
+def test_get(spark, stored):
+    assert [tuple(r) for r in vector.get(stored, "doc:car").collect()] == [("doc:car", "car engine")] and vector.get(stored, "doc:bus").count() == 0
+    asked = spark.createDataFrame([("doc:car", "x", 1), ("doc:bus", "y", 2)], "question string, answer string, norm int")
+    assert sorted((r.question, r.answer, r.norm) for r in vector.get_many(asked, stored).collect()) == [("doc:bus", None, 2), ("doc:car", "car engine", 1)]
+
+
 def test_lsh_finds_what_exact_finds(stored):
     assert [r.question for r in vector.search_lsh(stored, [1.0, 0.0, 0.0], 2, 0.5).collect()] == ["doc:apple", "doc:banana"]
 
