@@ -17,14 +17,20 @@ def _now(now_ms: int | Column) -> Column:
 
 
 def probe(probes: DataFrame, kv: DataFrame) -> DataFrame:
-    """Left join by key; ``present`` tells a stored null from a missing key."""
-    return probes.join(kv.select("key", "value", "expire_ms", F.lit(True).alias("present")), "key", "left")
+    """Left join by key; ``present`` tells a stored null from a missing key. Columns of the probes with the names of those added are replaced."""
+    own = ("value", "expire_ms", "present")
+    return probes.drop(*own).join(kv.select("key", "value", "expire_ms", F.lit(True).alias("present")), "key", "left")
+
+
+def _met(probes: DataFrame, kv: DataFrame) -> DataFrame:
+    """Probes, whatever their columns, with the expiry and presence of their key under names of their own."""
+    return probes.join(kv.select("key", F.col("expire_ms").alias("__expire_ms"), F.lit(True).alias("__present")), "key", "left")
 
 
 def get(probes: DataFrame, kv: DataFrame, now_ms: int | Column) -> DataFrame:
-    """Probes with the live value, or null."""
+    """Probes with the live value, or null; a column ``value`` of the probes is replaced."""
     now = _now(now_ms)
-    return probes.join(kv.filter(live(F.col("expire_ms"), now)).select("key", "value"), "key", "left")
+    return probes.drop("value").join(kv.filter(live(F.col("expire_ms"), now)).select("key", "value"), "key", "left")
 
 
 def missing(probes: DataFrame, kv: DataFrame, now_ms: int | Column) -> DataFrame:
@@ -34,15 +40,14 @@ def missing(probes: DataFrame, kv: DataFrame, now_ms: int | Column) -> DataFrame
 
 def exist(probes: DataFrame, kv: DataFrame, now_ms: int | Column) -> DataFrame:
     """Probes with 1 or 0."""
-    found = probe(probes, kv)
-    alive = F.col("present").isNotNull() & live(F.col("expire_ms"), _now(now_ms))
-    return found.withColumn("exist", alive.cast("int")).drop("value", "expire_ms", "present")
+    alive = F.col("__present").isNotNull() & live(F.col("__expire_ms"), _now(now_ms))
+    return _met(probes, kv).withColumn("exist", alive.cast("int")).drop("__expire_ms", "__present")
 
 
 def ttl(probes: DataFrame, kv: DataFrame, now_ms: int | Column) -> DataFrame:
     """Probes with -2 (missing), -1 (no expiry) or seconds left, rounded up."""
-    left = F.when(F.col("present").isNull(), F.lit(-2).cast("long")).otherwise(ttl_seconds(F.col("expire_ms"), _now(now_ms)))
-    return probe(probes, kv).withColumn("ttl", left).drop("value", "expire_ms", "present")
+    left = F.when(F.col("__present").isNull(), F.lit(-2).cast("long")).otherwise(ttl_seconds(F.col("__expire_ms"), _now(now_ms)))
+    return _met(probes, kv).withColumn("ttl", left).drop("__expire_ms", "__present")
 
 
 def upsert(kv: DataFrame, writes: DataFrame) -> DataFrame:

@@ -401,9 +401,8 @@ def resp_encode_set(spark, sf_dir):
 
 @query(f"WITH {KV_SQL} SELECT 'RSET' AS verb, key, value, 3 AS n_args FROM kv WHERE engine = 'rbtree'")
 def resp_decode(spark, sf_dir):
-    framed = resp_encode_set(spark, sf_dir)
-    parts = F.split("frame", "\r\n")
-    return framed.select(parts.alias("p")).select(F.col("p")[2].alias("verb"), F.col("p")[4].alias("key"), F.col("p")[6].alias("value"), F.expr("int(substring(p[0], 2))").alias("n_args"))
+    read = command_log.arguments(resp_encode_set(spark, sf_dir))
+    return read.select(F.col("argv")[0].alias("verb"), F.col("argv")[1].alias("key"), F.col("argv")[2].alias("value"), F.size("argv").alias("n_args"))
 
 
 @query(f"""WITH {fold_sql('rbtree')}, a AS (SELECT seq, op, {replies_sql('rbtree')} AS reply FROM f)
@@ -467,6 +466,23 @@ def repl_gap_detect(spark, sf_dir):
     return replay.gaps(T.command_log(spark, sf_dir), "key")
 
 
+@query(f"""WITH {fold_sql('array', f"ts_ms <= {NOW}")}
+SELECT key, val AS value, exp AS expire_ms FROM (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY key ORDER BY ts_ms DESC, seq DESC) = 1)
+WHERE present_after AND (exp IS NULL OR exp > {NOW})""")
+def replica_apply(spark, sf_dir):
+    """A follower that loads an early state as a snapshot, then gets overlapping batches and is started again before each."""
+    path = _scratch(spark, "follower")
+    log = T.command_log(spark, sf_dir).filter(F.col("ts_ms") <= NOW)
+    log = log.withColumn("seq", F.col("ts_ms") * 1_000_000 + F.col("seq"))  # a leader numbers commands in their order
+    first, last = log.agg(F.min("seq"), F.max("seq")).first()
+    cuts = [first + (last - first) * i // 4 for i in range(1, 4)] + [last]
+    early = fold.folded(log.filter(F.col("seq") <= cuts[0])).groupBy("engine", "key").agg(F.max_by(F.struct("present_after", "val", "exp"), "seq").alias("s"))
+    replay.Follower(spark, path).load(early.filter("s.present_after").select("engine", "key", F.col("s.val").alias("value"), F.col("s.exp").alias("expire_ms")), cuts[0])
+    for high in cuts[1:]:
+        replay.Follower(spark, path).apply_batch(log.filter((F.col("seq") > first) & (F.col("seq") <= high)))
+    return replay.current(replay.Follower(spark, path).table(), NOW).select("key", "value", "expire_ms")
+
+
 def _segments(spark, sf_dir) -> DataFrame:
     """Events as segments of their user's flow: 100 bytes each, of which every fifth repeats half of the one before and every seventh leaves a hole."""
     rows = T.table(spark, sf_dir, "events").select(F.col("user_id").alias("flow"), F.col("event_id").alias("at"))

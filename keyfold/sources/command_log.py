@@ -1,8 +1,9 @@
 """Command logs: a folder of segments, each a plain concatenation of frames (arrays of bulk strings).
 
-Writing is native: frames are built as columns and written as text. Reading goes through Spark's binary file
-source, so any file system works and each segment is a task; frames are cut by their lengths, as values may
-hold line ends. A segment's first bad or partial frame ends it, without an error.
+Writing is native: frames are built as columns and written as text; a command without a key is refused, and a time to live is
+rounded up to seconds, so that no expiry comes early. Reading goes through Spark's binary file
+source, so any file system works and each segment (2 GB at most) is a task; frames are cut by their lengths, as values may
+hold line ends. A segment's first bad or partial frame ends it, without an error; ``unread`` tells how many bytes that leaves.
 """
 
 from __future__ import annotations
@@ -22,6 +23,12 @@ MOST_ARGS, MOST_BYTES = 1_024, 512 << 20
 
 def frames(data: bytes) -> Iterator[list[bytes]]:
     """Arguments of each whole frame, up to the first that is bad or cut off."""
+    for args, _ in placed_frames(data):
+        yield args
+
+
+def placed_frames(data: bytes) -> Iterator[tuple[list[bytes], int]]:
+    """As ``frames``, each with the place where it ends."""
     at, end = 0, len(data)
 
     def number(mark: bytes) -> int | None:
@@ -44,22 +51,23 @@ def frames(data: bytes) -> Iterator[list[bytes]]:
                 return
             args.append(data[at : at + size])
             at += size + 2
-        yield args
+        yield args, at
 
 
 def argv_of(log: DataFrame) -> Column:
-    """A command row (``schema.COMMAND``) as arguments; seconds of SETEX and EXPIRE stand last."""
+    """A command row (``schema.COMMAND``) as arguments; seconds of SETEX and EXPIRE, rounded up, stand last. A null key is an error."""
     prefix = F.lit("")
     for engine, p in PREFIX.items():
         prefix = F.when(F.col("engine") == engine, p).otherwise(prefix)
     verb = F.concat(prefix, F.col("op"))
-    seconds = F.floor(F.col("ttl_ms") / 1000).cast("string")
+    seconds = F.ceil(F.coalesce("ttl_ms", F.lit(0)) / 1000).cast("string")
     value = F.coalesce("value", F.lit(""))
+    key = F.when(F.col("key").isNull(), F.raise_error(F.concat(F.lit("a command without a key: seq "), F.coalesce(F.col("seq").cast("string"), F.lit("null")))).cast("string")).otherwise(F.col("key"))
     return (
-        F.when(F.col("op").isin("SET", "MOD"), F.array(verb, "key", value))
-        .when(F.col("op") == "SETEX", F.array(verb, F.col("key"), value, seconds))
-        .when(F.col("op") == "EXPIRE", F.array(verb, F.col("key"), seconds))
-        .otherwise(F.array(verb, F.col("key")))
+        F.when(F.col("op").isin("SET", "MOD"), F.array(verb, key, value))
+        .when(F.col("op") == "SETEX", F.array(verb, key, value, seconds))
+        .when(F.col("op") == "EXPIRE", F.array(verb, key, seconds))
+        .otherwise(F.array(verb, key))
     )
 
 
@@ -90,6 +98,30 @@ def read_frames(spark: SparkSession, path: str) -> DataFrame:
     return rows.join(starts, "path").select((F.col("before") + F.col("place")).alias("seq"), "argv")
 
 
+def unread(spark: SparkSession, path: str) -> DataFrame:
+    """(path, size, unread): of each segment the bytes that a bad or partial frame keeps from being read."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            ends = [max((end for _, end in placed_frames(data)), default=0) for data in batch["content"]]
+            sizes = [len(data) for data in batch["content"]]
+            yield pd.DataFrame({"path": batch["path"], "size": sizes, "unread": [n - e for n, e in zip(sizes, ends)]})
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInPandas(run, "path string, size long, unread long")
+
+
+def arguments(framed: DataFrame, frame: str = "frame") -> DataFrame:
+    """``framed`` with ``argv``, the arguments of the first frame in the column ``frame``, cut by their lengths; null where it is bad or cut off."""
+
+    @F.pandas_udf("array<string>")
+    def first(rows: pd.Series) -> pd.Series:
+        found = (next(frames(x.encode()), None) if x is not None else None for x in rows)
+        return pd.Series([None if f is None else [a.decode("utf-8", "replace") for a in f] for f in found], dtype=object)
+
+    return framed.withColumn("argv", first(F.col(frame)))
+
+
 def commands_of(rows: DataFrame, ts_ms: Column) -> DataFrame:
     """Arguments as ``schema.COMMAND``; ``ts_ms`` anchors relative expiry. Verbs of no keyspace are left out."""
     verb = F.col("argv")[0]

@@ -115,6 +115,8 @@ class _Reader(DataSourceReader):
         self.path = path
 
     def partitions(self):
+        if os.path.isfile(self.path):  # one file of records, as a server leaves it
+            return [_File(self.path)]
         return [_File(os.path.join(self.path, n)) for n in sorted(os.listdir(self.path)) if n.startswith("part-")]
 
     def read(self, partition: _File):

@@ -87,16 +87,38 @@ class Follower:
     """A table kept current: loads a snapshot, then applies batches of effective commands after its seq.
 
     Each batch is folded per key, so a batch may be sent again: rows up to the seq held are left out.
-    Each version is written whole before it becomes the current one.
+    Each version is written whole before it becomes the current one: a row of ``held`` (version, seq) is added after it. A
+    follower that is started again at the same path goes on from the last such row. The version before the current
+    one stays for readers that have begun; older ones are removed.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
         self.version, self.seq = 0, 0
+        if self._exists("held"):
+            last = spark.read.schema("version long, seq long").parquet(f"{self.path}/held").orderBy(F.desc("version")).first()
+            if last is not None:
+                self.version, self.seq = last
+
+    def _folder(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def _exists(self, name: str) -> bool:
+        files, path = self._folder(name)
+        return files.exists(path)
+
+    def _commit(self, table: DataFrame, seq: int) -> None:
+        version = self.version + 1
+        snapshot.write_table(table, f"{self.path}/v{version}")
+        self.spark.createDataFrame([(version, seq)], "version long, seq long").coalesce(1).write.mode("append").parquet(f"{self.path}/held")
+        self.version, self.seq = version, seq
+        files, old = self._folder(f"v{version - 2}")
+        files.delete(old, True)
 
     def load(self, kv_table: DataFrame, seq: int) -> None:
-        self.version, self.seq = 1, seq
-        snapshot.write_table(kv_table, f"{self.path}/v1")
+        """Start from a snapshot that holds all commands up to ``seq``."""
+        self._commit(kv_table, seq)
 
     def table(self) -> DataFrame:
         return snapshot.read_table(self.spark, f"{self.path}/v{self.version}")
@@ -127,8 +149,7 @@ class Follower:
         changed = fold.folded(log).groupBy("engine", "key").agg(F.max_by(F.struct("present_after", "val", "exp"), F.struct("ts_ms", "seq")).alias("s"))
         changed = changed.filter("s.present_after").select("engine", "key", F.col("s.val").alias("value"), F.col("s.exp").alias("expire_ms"))
         rest = old.join(new.select("engine", "key").distinct(), ["engine", "key"], "left_anti")
-        snapshot.write_table(rest.unionByName(changed), f"{self.path}/v{self.version + 1}")
-        self.version, self.seq = self.version + 1, top
+        self._commit(rest.unionByName(changed), top)
 
 
 def deduplicated(commands: DataFrame) -> DataFrame:

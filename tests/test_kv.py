@@ -47,3 +47,13 @@ def test_expressions(spark):
     assert value(X.byte_sum(F.lit("abc"))) == 294 and value(X.byte_sum(F.lit(""))) == 0
     assert value(X.byte_sum(F.lit("é"))) == (0xC3 + 0xA9) % 1024
     assert value(X.encode_reply(F.lit("bulk"), F.lit(None).cast("string"))) == "$-1\r\n"
+
+
+def test_probes_may_have_any_columns(spark):
+    table = spark.createDataFrame([("array", "a", "1", None), ("array", "b", "2", 5)], "engine string, key string, value string, expire_ms long")
+    probes = spark.createDataFrame([("a", "x", 1, True), ("c", "y", 2, False)], "key string, value string, expire_ms long, present boolean")
+    for out, name, expected in ((kv.exist(probes, table, 3), "exist", {"a": 1, "c": 0}), (kv.ttl(probes, table, 3), "ttl", {"a": -1, "c": -2})):
+        rows = out.collect()
+        assert {r.key: r[name] for r in rows} == expected and {(r.key, r.value, r.expire_ms, r.present) for r in rows} == {("a", "x", 1, True), ("c", "y", 2, False)}
+    assert {r.key: r.value for r in kv.get(probes, table, 3).collect()} == {"a": "1", "c": None}
+    assert {r.key: r.present for r in kv.probe(probes, table).collect()} == {"a": True, "c": None}

@@ -1,3 +1,6 @@
+import struct
+
+import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -91,3 +94,58 @@ def test_stream_equals_batch(spark, tmp_path):
 def test_gaps(spark):
     rows = spark.createDataFrame([("f", 1), ("f", 2), ("f", 5), ("g", 9)], "flow string, seq long")
     assert [tuple(r) for r in replay.gaps(rows, "flow").collect()] == [("f", 2, 5, 2)]
+
+
+def test_log_keeps_every_command(spark, tmp_path):
+    """Times to live are never shortened, a command without a key is refused, and bytes that cannot be read are told."""
+    rows = [(1, 0, "array", "SETEX", "k", "v", 500), (2, 0, "array", "SETEX", "k", "é\r\n$3\r\nx", 1001), (3, 0, "array", "EXPIRE", "k", None, -1500), (4, 0, "array", "SET", "", None, None)]
+    command_log.write_log(spark.createDataFrame(rows, COMMAND), str(tmp_path / "log"))
+    back = command_log.commands_of(command_log.read_frames(spark, str(tmp_path / "log")), F.lit(0).cast("long")).orderBy("seq").collect()
+    assert [(r.key, r.value, r.ttl_ms) for r in back] == [("k", "v", 1000), ("k", "é\r\n$3\r\nx", 2000), ("k", None, -1000), ("", "", None)]
+    assert sum(r.unread for r in command_log.unread(spark, str(tmp_path / "log")).collect()) == 0
+    with pytest.raises(Exception, match="without a key"):
+        command_log.write_log(spark.createDataFrame([(1, 0, "array", "GET", None, None, None), *rows], COMMAND), str(tmp_path / "bad"))
+    whole = framed([b"SET", b"a", b"b"])
+    (tmp_path / "cut").write_bytes(whole * 3 + whole[:-3])
+    assert [(r.size, r.unread) for r in command_log.unread(spark, str(tmp_path / "cut")).collect()] == [(len(whole) * 4 - 3, len(whole) - 3)]
+
+
+def test_one_log_in_any_number_of_segments(spark, tmp_path):
+    commands = [framed([b"SET", b"k%d" % (i % 7), b"v\r\n" * (i % 3)]) for i in range(200)]
+    for name, cuts in (("many", (0, 60, 61, 200)), ("one", (0, 200))):
+        (tmp_path / name).mkdir()
+        for i, (low, high) in enumerate(zip(cuts, cuts[1:])):
+            (tmp_path / name / f"segment-{i}").write_bytes(b"".join(commands[low:high]))
+    many, one = (sorted((r.seq, r.argv) for r in command_log.read_frames(spark, str(tmp_path / n)).collect()) for n in ("many", "one"))
+    assert many == one and [s for s, _ in one] == list(range(1, 201)) and one[2][1] == ["SET", "k2", "v\r\nv\r\n"]
+
+
+def test_arguments_of_a_column(spark):
+    texts = [framed([b"SET", "é\r\n".encode(), b""]).decode(), "*1\r\n$9\r\nx\r\n", "", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, frame string")
+    assert {r.i: r.argv for r in command_log.arguments(rows).collect()} == {0: ["SET", "é\r\n", ""], 1: None, 2: None, 3: None}
+
+
+def test_single_snapshot_file(spark, tmp_path):
+    """Bytes laid out by hand: type, expiry, key, value; and a vector with its text."""
+    text = b"0.500000,-1.250000"
+    data = b"\x03" + struct.pack("<q", 9) + struct.pack("<i", 1) + b"k" + struct.pack("<i", 2) + b"vv"
+    data += b"\x05" + struct.pack("<i", 1) + b"q" + struct.pack("<i", 1) + b"a" + struct.pack("<i", 2) + struct.pack("<i", len(text)) + text
+    (tmp_path / "kv.rdb").write_bytes(data)
+    rows = snapshot.read_binary(spark, str(tmp_path / "kv.rdb"))
+    assert [tuple(r) for r in snapshot.keyspaces(rows).collect()] == [("hash", "k", "vv", 9)]
+    assert [tuple(r) for r in snapshot.vectors(rows).collect()] == [("q", "a", [0.5, -1.25])]
+
+
+def test_follower_goes_on_after_a_restart(spark, tmp_path):
+    rows = random_log(17, "hash", 300, 20)
+    log, path = spark.createDataFrame(rows, COMMAND), str(tmp_path / "follower")
+    replay.Follower(spark, path).load(spark.createDataFrame([], KV), -1)
+    for low, high in ((-1, 120), (100, 200), (180, 300), (-1, 300)):
+        follower = replay.Follower(spark, path)  # nothing but the folder tells where to go on
+        follower.apply_batch(log.filter((F.col("seq") > low) & (F.col("seq") <= high)))
+    _, space = simulated(rows, "hash")
+    now = rows[-1][1]
+    again = replay.Follower(spark, path)
+    assert again.seq == 299 and {r.key: (r.value, r.expire_ms) for r in replay.current(again.table(), now).collect()} == space.live(now)
+    assert sorted(p.name for p in (tmp_path / "follower").iterdir()) == ["held", "v3", "v4"]
