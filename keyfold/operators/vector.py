@@ -135,13 +135,13 @@ def _near(vectors: DataFrame, queries: DataFrame, n: int, threshold: float, tabl
     return rows.filter(F.col("score") >= threshold)
 
 
-def search_lsh(vectors: DataFrame, query: list[float], k: int, threshold: float, tables: int = 8, width: float = 1.5) -> DataFrame:
+def search_lsh(vectors: DataFrame, query: list[float], k: int, threshold: float, tables: int = 16, width: float = 1.5) -> DataFrame:
     """Approximate search: candidates from random projections of unit vectors (a cosine of at least the threshold is a distance of at most sqrt(2 - 2 threshold)), scored exactly."""
     one = vectors.sparkSession.createDataFrame([(0, [float(x) for x in query])], "query_id int, q array<double>")
     rows = _near(vectors, one, len(query), threshold, tables, width).drop("query_id")
     return rows.orderBy(F.desc("score"), "question").limit(min(k, MOST))
 
 
-def search_lsh_many(vectors: DataFrame, queries: DataFrame, n: int, threshold: float, tables: int = 8, width: float = 1.5) -> DataFrame:
+def search_lsh_many(vectors: DataFrame, queries: DataFrame, n: int, threshold: float, tables: int = 16, width: float = 1.5) -> DataFrame:
     """(query_id, question, answer, score): approximately all vectors of ``n`` components that reach the threshold, for each row of ``queries`` (query_id, q)."""
     return _near(vectors, queries, n, threshold, tables, width)
