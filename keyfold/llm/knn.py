@@ -35,6 +35,9 @@ from keyfold.llm.shared import written
 PIVOTS, SAMPLE = 96, 4_096
 #: Bounds of a task: queries of a block, vectors of a chunk.
 BLOCK, CHUNK = 8_192, 16_384
+#: Lengths of vectors that get pivots of their own.
+SPACES = 8
+SCORES = "query_id long, vec_id long, score long"
 #: Relative margin on bounds that are computed in doubles.
 SLACK = 1e-9
 
@@ -90,6 +93,51 @@ def _distinct(ids: np.ndarray, v: np.ndarray) -> np.ndarray:
     return np.sort(np.unique(np.column_stack((ids, v)), axis=0, return_index=True)[1])
 
 
+def _solver(k: int):
+    """The k best of a task's vectors for each of its queries."""
+
+    def solved(part: pd.DataFrame) -> pd.DataFrame:
+        ask = part["ask"].to_numpy()
+        queries, near = part[ask], part[~ask]
+        if not len(queries) or not len(near):
+            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+        q, x = (np.stack(p["v"].to_numpy()) for p in (queries, near))
+        own, ids = queries["id"].to_numpy(), near["id"].to_numpy()
+        # rows that repeat id and vector have come to this task together
+        one, two = _distinct(own, q), _distinct(ids, x)
+        q, own, x, ids = q[one], own[one], x[two], ids[two]
+        out = []
+        for at in range(0, len(q), 256):
+            scores = _products(q[at : at + 256], x)
+            r, c = _best(scores, ids, own[at : at + 256], k)
+            out.append(pd.DataFrame({"query_id": own[at : at + 256][r], "vec_id": ids[c], "score": scores[r, c]}))
+        return pd.concat(out)
+
+    return solved
+
+
+def _hashed(rows: pd.DataFrame) -> np.ndarray:
+    """A number for each row, the same for rows that repeat id and vector."""
+    v = np.stack(rows["v"].to_numpy())
+    odd = np.arange(1, 2 * v.shape[1], 2, dtype=np.int64)
+    return rows["id"].to_numpy() * 1_000_003 + (v * odd).sum(1)
+
+
+def _deal(hashed: np.ndarray, n: int) -> np.ndarray:
+    return ((hashed.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % n
+
+
+def _of_any_length(rows: DataFrame, k: int, block: int, chunk: int) -> DataFrame:
+    """rows: (id, v, asks), vectors of rare lengths, all in one plan without pivots: each block of queries of a length meets each chunk of its vectors."""
+    counts = rows.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("asks"), 1)).alias("asks")).first()
+    blocks, chunks = max(1, -(-counts["asks"] // block)), max(1, -(-counts["n"] // chunk))
+    numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    # rows that repeat id and vector go the same way
+    mine = rows.filter("asks").select(F.size("v").alias("g"), F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).alias("b"), numbers(chunks).alias("c"), F.lit(True).alias("ask"), "id", "v")
+    data = rows.select(F.size("v").alias("g"), numbers(blocks).alias("b"), F.pmod(F.xxhash64("id", "v"), F.lit(chunks)).alias("c"), F.lit(False).alias("ask"), "id", "v")
+    return mine.unionByName(data).groupBy("g", "b", "c").applyInPandas(_solver(k), SCORES)
+
+
 def _groups(cells: Cells, queries: np.ndarray, block: int) -> np.ndarray:
     """The group of each cell: neighbouring cells, one after the other, until they have about ``block`` queries."""
     left, here, out, group, count = set(range(len(queries))), 0, np.zeros(len(queries), np.int64), 0, 0
@@ -160,54 +208,39 @@ def _of_length(rows: DataFrame, k: int, pivots: int, block: int, chunk: int) ->
     chunks = np.maximum(1, -(-expected // chunk)).astype(np.int64)
     plan = spark.sparkContext.broadcast((least, blocks, chunks))
 
-    def deal(ids: np.ndarray, n: np.ndarray) -> np.ndarray:
-        return ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % n
-
     def replicated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         least, blocks, chunks = plan.value
         for batch in batches:
+            if not len(batch):
+                continue
             cell, dist, asked = (batch[c].to_numpy() for c in ("cell", "dist", "asks"))
+            hashed = _hashed(batch)
             for g in np.flatnonzero(blocks):
-                take = batch[dist >= least[g, cell]]
-                part = deal(take["id"].to_numpy(), chunks[g])
+                near, own = dist >= least[g, cell], (groups.value[cell] == g) & asked
+                take, part = batch[near], _deal(hashed[near], chunks[g])
                 for b in range(blocks[g]):
                     if len(take):
                         yield pd.DataFrame({"g": g, "b": b, "c": part, "ask": False, "id": take["id"], "v": take["v"]})
-                mine = batch[(groups.value[cell] == g) & asked]
+                mine = batch[own]
                 for c in range(chunks[g]) if len(mine) else ():
-                    yield pd.DataFrame({"g": g, "b": deal(mine["id"].to_numpy() * 31 + 7, blocks[g]), "c": c, "ask": True, "id": mine["id"], "v": mine["v"]})
-
-    def solved(part: pd.DataFrame) -> pd.DataFrame:
-        ask = part["ask"].to_numpy()
-        queries, near = part[ask], part[~ask]
-        if not len(queries) or not len(near):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        q, x = (np.stack(p["v"].to_numpy()) for p in (queries, near))
-        own, ids = queries["id"].to_numpy(), near["id"].to_numpy()
-        # rows that repeat id and vector have come to this task together
-        one, two = _distinct(own, q), _distinct(ids, x)
-        q, own, x, ids = q[one], own[one], x[two], ids[two]
-        out = []
-        for at in range(0, len(q), 256):
-            scores = _products(q[at : at + 256], x)
-            r, c = _best(scores, ids, own[at : at + 256], k)
-            out.append(pd.DataFrame({"query_id": own[at : at + 256][r], "vec_id": ids[c], "score": scores[r, c]}))
-        return pd.concat(out)
+                    yield pd.DataFrame({"g": g, "b": _deal(hashed[own] * 31 + 7, blocks[g]), "c": c, "ask": True, "id": mine["id"], "v": mine["v"]})
 
     dealt = table.mapInPandas(replicated, "g int, b long, c long, ask boolean, id long, v array<long>")
-    return dealt.groupBy("g", "b", "c").applyInPandas(solved, "query_id long, vec_id long, score long")
+    return dealt.groupBy("g", "b", "c").applyInPandas(_solver(k), SCORES)
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding", pivots: int = PIVOTS, block: int = BLOCK, chunk: int = CHUNK) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k highest products with all rows but its own."""
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), quantized(F.col(vector_col), scale).alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     rows = written(rows.filter("id IS NOT NULL AND v IS NOT NULL"), "vectors")
-    # lengths are few: each is a space of its own
-    lengths = [r[0] for r in rows.select(F.size("v").alias("n")).distinct().orderBy("n").collect()]
-    found = None
+    # each of the lengths that are met most is a space of its own, the others are taken together
+    sizes = rows.groupBy(F.size("v").alias("n")).agg(F.count(F.lit(1)).alias("rows")).orderBy(F.desc("rows"), "n").limit(SPACES + 1).collect()
+    lengths, found = [r["n"] for r in sizes[:SPACES]], None
     for n in lengths:
         part = _of_length(rows.filter(F.size("v") == n), k, pivots, block, chunk)
         found = part if found is None else found.unionByName(part)
+    if len(sizes) > SPACES:
+        found = found.unionByName(_of_any_length(rows.filter(~F.size("v").isin(lengths)), k, block, chunk))
     if found is None:
         found = rows.select(F.col("id").alias("query_id"), F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("score"))
     ranks = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

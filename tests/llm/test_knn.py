@@ -76,3 +76,11 @@ def test_few_queries_copy_the_data_once(spark):
     assert set(knn._groups(cells, np.full(96, 5), 8192)) == {0}
     groups = knn._groups(cells, np.full(96, 5000), 8192)
     assert len(set(groups)) == 96
+
+
+def test_many_lengths(spark):
+    """More lengths than have pivots of their own; repeated rows among the rare ones."""
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.normal(size=1 + i % 14)]) for i in range(250)]
+    rows += rows[:40]
+    assert run(spark, rows, k=4, block=3, chunk=7) == brute(rows, 4)
