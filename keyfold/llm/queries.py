@@ -111,7 +111,7 @@ FROM p LEFT JOIN texts USING (row_id)
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_decode(_table(spark, sf_dir, "documents"), bpe.public_vocabulary)
+    return bpe.encode_decode(_table(spark, sf_dir, "documents"), bpe.public_vocabulary, remembered=400_000)
 
 
 #: Key of the registered query; a real run passes its own secret.
