@@ -11,6 +11,11 @@ how many candidates there are, never which pairs are found.
 A shingle that a few texts share gives all their pairs. Where it is shared by many, neighbours by size are compared
 first; then, in rounds, ever more distant ones, but only those that are not connected yet. So a large group of
 near copies never has all its pairs listed, and no similar pair is left out unless its two ends are connected already.
+
+No list is held whole by one task where it is long. A shingle that a sample of the texts says to be shared by more than
+``CHUNK`` is cut into chunks by a hash of text and shingle, so the same texts meet in other chunks of their other shingles.
+The rounds stay within chunks. What is not connected with a list's largest group then asks all chunks of the list, in blocks
+of bounded size. The sample decides how long chunks are, never which pairs are found.
 """
 
 from __future__ import annotations
@@ -32,6 +37,10 @@ SEED = 42
 LISTED = 16
 #: How the distance of the neighbours that are compared grows from round to round.
 WIDER = 8
+#: Texts of one shingle that a task takes at once; longer lists are cut into chunks of about so many.
+CHUNK = 512
+#: Rows, or pairs, that a task works on at once.
+PORTION = 1 << 18
 #: One text in so many is in the sample; a shingle of so many of its texts is common, the most common ones count.
 SAMPLE, COMMON, MOST = 16, 3, 1 << 18
 #: Rounding that a comparison of sizes forgives.
@@ -123,6 +132,36 @@ def wider_pairs(rows: pd.DataFrame, least: float, low: int, high: int) -> tuple[
     return pairs[:, 0], pairs[:, 1], more
 
 
+def portions(rows: pd.DataFrame, most: int = PORTION) -> Iterator[pd.DataFrame]:
+    """The rows in frames of whole lists, of ``most`` rows or fewer but where one list is longer."""
+    if not len(rows):
+        return
+    rows, _, ends = _runs(rows)
+    begin = last = 0
+    for end in ends:
+        if end - begin > most and last > begin:
+            yield rows.iloc[begin:last]
+            begin = last
+        last = end
+    yield rows.iloc[begin:]
+
+
+def crossed_pairs(rows: pd.DataFrame, least: float, most: int = PORTION) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of nodes (a < b) of different roots, of a row that asks and one of the same list that does not, ``most`` comparisons at a time."""
+    for _, own in rows.groupby("token", sort=False):
+        asks = own["asks"].to_numpy(bool)
+        node, size, at, root = (own[c].to_numpy() for c in ("node", "size", "at", "root"))
+        asked = np.flatnonzero(~asks)[None, :]
+        asking = np.flatnonzero(asks)[:, None]
+        step = max(1, most // max(1, asked.size))
+        for begin in range(0, len(asking), step):
+            i = asking[begin : begin + step]
+            x, y = np.nonzero((root[i] != root[asked]) & _able(size[i], at[i], size[asked], at[asked], least))
+            a, b = node[i[x, 0]], node[asked[0, y]]
+            pairs = np.unique(np.column_stack((np.minimum(a, b), np.maximum(a, b))), axis=0)
+            yield pairs[:, 0], pairs[:, 1]
+
+
 def _common(docs: DataFrame, shingle: int) -> np.ndarray:
     """Sorted hashes of shingles that are common in the sample."""
 
@@ -137,9 +176,9 @@ def _common(docs: DataFrame, shingle: int) -> np.ndarray:
     return np.sort(counts.orderBy(F.desc("n"), "token").limit(MOST).select("token").toPandas()["token"].to_numpy(np.int64))
 
 
-def similar_texts(docs: DataFrame, shingle: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text", listed: int | None = None) -> DataFrame:
+def similar_texts(docs: DataFrame, shingle: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text", listed: int | None = None, chunk: int | None = None) -> DataFrame:
     """(id, component_id): documents connected by pairs whose shingles' Jaccard similarity is ``least`` or more; rows without an id are left out."""
-    return similar_rows(docs, shingle, least, id_col, text_col, listed).select("id", F.col("first.id").alias("component_id"))
+    return similar_rows(docs, shingle, least, id_col, text_col, listed, chunk).select("id", F.col("first.id").alias("component_id"))
 
 
 def digest_of(text: Column) -> Column:
@@ -147,9 +186,9 @@ def digest_of(text: Column) -> Column:
     return F.xxhash64(text)
 
 
-def similar_rows(docs: DataFrame, shingle: int, least: float, id_col: str, text_col: str, listed: int | None = None) -> DataFrame:
+def similar_rows(docs: DataFrame, shingle: int, least: float, id_col: str, text_col: str, listed: int | None = None, chunk: int | None = None) -> DataFrame:
     """(id, digest, first): a row's id and the digest of its text, and those of the smallest row that it is connected with."""
-    listed = LISTED if listed is None else listed
+    listed, chunk = LISTED if listed is None else listed, CHUNK if chunk is None else chunk
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), digest_of(F.col(text_col)).alias("digest")).filter("id IS NOT NULL")
     id_type = docs.schema["id"].dataType.simpleString()
@@ -186,43 +225,101 @@ def similar_rows(docs: DataFrame, shingle: int, least: float, id_col: str, text_
             good = [similarity(x, y, shingle) >= least for x, y in zip(batch["words_a"], batch["words_b"])]
             yield batch[["a", "b"]][np.array(good, bool)]
 
+    def widened(low: int, high: int):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            whole = [b for b in batches if len(b)]
+            for rows in portions(pd.concat(whole), 16 * chunk) if whole else ():
+                a, b, left = wider_pairs(rows, least, low, high)
+                yield pd.DataFrame({"a": a, "b": b, "more": False})
+                if left:
+                    yield pd.DataFrame({"a": [0], "b": [0], "more": [True]})
+
+        return run
+
+    def crossed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        whole = [b for b in batches if len(b)]
+        for a, b in crossed_pairs(pd.concat(whole), least) if whole else ():
+            yield pd.DataFrame({"a": a, "b": b})
+
     prints = written(map_slices(docs, printed, f"id {id_type}, digest long, node long, size int, first array<long>"), "prints")
     nodes = written(prints.groupBy("node").agg(F.min(F.struct("id", "digest")).alias("first_one")), "nodes")
-    postings = prints.select("node", "size", "first").dropDuplicates(["node"]).select("node", "size", F.posexplode("first").alias("at", "token"))
+    distinct = prints.select("node", "size", "first").dropDuplicates(["node"])
+    postings = distinct.select("node", "size", F.posexplode("first").alias("at", "token"))
+    sampled = prints.filter(F.pmod(F.xxhash64("node"), F.lit(SAMPLE)) == 0).select("node", "first").dropDuplicates(["node"]).select(F.explode("first").alias("token"))
+    chunks = F.ceil(F.count(F.lit(1)) * SAMPLE / chunk).cast("int")
+    hot = written(sampled.groupBy("token").agg(chunks.alias("chunks")).filter("chunks > 1"), "hot")
+    cut, lists = None, postings
+    if not hot.isEmpty():
+        # a list of its own for each chunk; two lists of one name would only add candidates
+        own = F.pmod(F.xxhash64("node", "token"), F.col("chunks")).cast("int")
+        cut = written(postings.join(hot, "token").select("token", "node", "size", "at", own.alias("chunk"), "chunks"), "cut")
+        lists = postings.join(hot, "token", "left").select("node", "size", "at", F.when(F.col("chunks").isNull(), F.col("token")).otherwise(F.xxhash64("token", own)).alias("token"))
     rows = prints.agg(F.sum(F.size("first"))).first()[0] or 0
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), ceil(rows / 500_000))
-    found = written(postings.repartition(parts, "token").mapInPandas(proposed, "a long, b long, token long, size int, at int"), "found")
+    least_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(least_parts, ceil(rows / 500_000))
+    found = written(lists.repartition(parts, "token").mapInPandas(proposed, "a long, b long, token long, size int, at int"), "found")
     pairs = written(found.filter("size < 0").select("a", "b").distinct(), "pairs")
     long = written(found.filter("size >= 0").select(F.col("a").alias("node"), "token", "size", "at"), "long")
-    good, tried, labels, low, more = None, pairs, None, 2, not long.isEmpty()
-    while True:
-        if not pairs.isEmpty():
-            ends = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends")
-            of = nodes.join(ends, "node").select("node", F.col("first_one.id").alias("id"))
-            # an id may stand for several texts; those that were not asked for find no pair
-            wanted = docs.join(of.select("id").distinct(), "id", "left_semi")
-            texts = written(map_slices(wanted, worded, "node long, words binary").dropDuplicates(["node"]), "texts")
-            one, two = (texts.select(F.col("node").alias(x), F.col("words").alias(f"words_{x}")) for x in "ab")
-            passed = written(map_slices(pairs.join(one, "a").join(two, "b"), compared, "a long, b long"), "passed")
-            good = passed if good is None else good.unionByName(passed)
-            labels = components(good)
-        if not more:
-            break
+    good, tried, labels = None, pairs, None
+
+    def judge() -> None:
+        """Compare the words of ``pairs``; what is similar connects."""
+        nonlocal good, labels
+        if pairs.isEmpty():
+            return
+        ends = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends")
+        of = nodes.join(ends, "node").select("node", F.col("first_one.id").alias("id"))
+        # an id may stand for several texts; those that were not asked for find no pair
+        wanted = docs.join(of.select("id").distinct(), "id", "left_semi")
+        texts = written(map_slices(wanted, worded, "node long, words binary").dropDuplicates(["node"]), "texts")
+        one, two = (texts.select(F.col("node").alias(x), F.col("words").alias(f"words_{x}")) for x in "ab")
+        passed = written(map_slices(pairs.join(one, "a").join(two, "b"), compared, "a long, b long"), "passed")
+        good = passed if good is None else good.unionByName(passed)
+        labels = components(good)
+
+    def rooted(rows: DataFrame) -> DataFrame:
+        if labels is None:
+            return rows.withColumn("root", F.col("node"))
+        return rows.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+    def untried(rows: DataFrame) -> DataFrame:
+        return written(rows.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+
+    judge()
+    low, more = 2, not long.isEmpty()
+    while more:
         high = low * WIDER
-
-        def widened(batches: Iterator[pd.DataFrame], low=low, high=high) -> Iterator[pd.DataFrame]:
-            whole = [b for b in batches if len(b)]
-            if whole:
-                a, b, left = wider_pairs(pd.concat(whole), least, low, high)
-                yield pd.DataFrame({"a": a, "b": b, "more": False})
-                if left:
-                    yield pd.DataFrame({"a": [0], "b": [0], "more": [True]})
-
-        rooted = long.withColumn("root", F.col("node")) if labels is None else long.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        next_ones = written(rooted.select("token", "node", "size", "at", "root").repartition(parts, "token").mapInPandas(widened, "a long, b long, more boolean"), "wider")
+        asked = rooted(long).select("token", "node", "size", "at", "root").repartition(parts, "token")
+        next_ones = written(asked.mapInPandas(widened(low, high), "a long, b long, more boolean"), "wider")
         more = not next_ones.filter("more").isEmpty()
-        pairs = written(next_ones.filter("NOT more").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+        pairs = untried(next_ones.filter("NOT more"))
+        judge()
         tried, low = tried.unionByName(pairs), high
+
+    if cut is not None:
+        # the largest group of a list is named once by one of its nodes, so that two nodes that never ask are always in one group
+        counts = rooted(cut).groupBy("token", "root").agg(F.count(F.lit(1)).alias("n"))
+        hubs = written(counts.groupBy("token").agg(F.max_by("root", F.struct("n", "root")).alias("node"), F.sum("n").alias("total")), "hubs")
+        low, high, last = 0, 1, cut.agg(F.max("chunks")).first()[0] or 0
+        while low < last:
+            hub = rooted(hubs).select("token", "total", F.col("root").alias("hub"))
+            members = written(rooted(cut).join(hub, "token"), "rooted")
+            apart = members.filter(F.col("root") != F.col("hub"))
+            if apart.filter(F.col("chunk") >= low).isEmpty():
+                break
+            asking = apart.filter((F.col("chunk") >= low) & (F.col("chunk") < high))
+            per_list = asking.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.max("chunks").alias("of"), F.max("total").alias("total"))
+            blocks = written(per_list.withColumn("blocks", F.ceil(F.col("n") / chunk).cast("int")), "blocks")
+            sent = blocks.agg(F.sum(F.col("n") * F.col("of") + F.col("total") * F.col("blocks"))).first()[0] or 0
+            in_blocks = blocks.select("token", "blocks")
+            block = F.pmod(F.xxhash64("token", F.lit(1), "node"), F.col("blocks")).cast("int").alias("block")
+            ones = asking.join(in_blocks, "token").select("token", "node", "size", "at", "root", block, F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(True).alias("asks"))
+            others = members.join(in_blocks, "token").select("token", "node", "size", "at", "root", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "chunk", F.lit(False).alias("asks"))
+            met = ones.unionByName(others).select(F.xxhash64("token", "chunk", "block").alias("token"), "node", "size", "at", "root", "asks")
+            met = met.repartition(max(least_parts, ceil(sent / 500_000)), "token")
+            pairs = untried(met.mapInPandas(crossed, "a long, b long"))
+            judge()
+            tried, low, high = tried.unionByName(pairs), high, high * WIDER
     if labels is None:
         labels = spark.createDataFrame([], "node long, root long")
     members = written(nodes.join(labels, "node").select("node", "root", "first_one"), "members")

@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 
 from keyfold.llm import similar, simhash
+from keyfold.llm.shared import written
 from tests.llm.test_tables import Union, docs, near_texts, plain_print, plain_similarity
 
 
@@ -72,3 +73,37 @@ def test_texts_of_one_id_are_judged_apart(spark):
     rows = [(1, base), (2, near), (2, other), (3, third), (3, other.upper()), (3, third), (None, base)]
     kept = sorted(((r.doc_id or 0, r.text) for r in simhash.keep_one(docs(spark, rows)).collect()))
     assert kept == sorted([(0, base), (1, base), (2, other), (3, third)])
+
+
+def test_long_lists_are_cut_and_lose_no_pair(spark, monkeypatch):
+    texts = copies()
+    # texts that share many shingles with a large group but are not similar to it, and two groups in one list
+    base = [f"x400_{i}" for i in range(400)]
+    texts += [" ".join(base[:40] + [f"z{k}_{i}" for i in range(12 + k % 3)] + base[200 : 200 + 9 * k]) for k in range(8)]
+    texts += [" ".join(base[:150] + [f"w{i}" for i in range(100)] + [f"v{k}"]) for k in range(9)]
+    union = Union()
+    for i in range(len(texts)):
+        union.find(i)
+        for j in range(i):
+            if plain_similarity(texts[i], texts[j]) >= 0.8:
+                union.join(i, j)
+    expected = {(i, union.find(i)) for i in range(len(texts))}
+    names = []
+    monkeypatch.setattr(similar, "written", lambda df, name: names.append(name) or written(df, name))
+    monkeypatch.setattr(similar, "SAMPLE", 2)
+    table = docs(spark, list(enumerate(texts)))
+    assert {tuple(r) for r in similar.similar_texts(table, listed=2, chunk=4).collect()} == expected
+    assert "cut" in names and "blocks" in names
+    assert similar.similar_texts(docs(spark, []), chunk=2).count() == 0
+
+
+@pytest.mark.parametrize("most", [1, 7, 1000])
+def test_crossing_meets_every_pair_and_portions_keep_lists_whole(most):
+    rng = random.Random(8)
+    rows = pd.DataFrame([(n, 50, 0, rng.randrange(4), rng.randrange(3), rng.random() < 0.4) for n in range(60)], columns=["node", "size", "at", "token", "root", "asks"])
+    wanted = {(min(x.node, y.node), max(x.node, y.node)) for x in rows.itertuples() for y in rows.itertuples() if x.asks and not y.asks and x.token == y.token and x.root != y.root}
+    found = [p for a, b in similar.crossed_pairs(rows, 0.8, most) for p in zip(a.tolist(), b.tolist())]
+    assert set(found) == wanted
+    parts = list(similar.portions(rows, most))
+    assert sum(map(len, parts)) == 60 and sum(p["token"].nunique() for p in parts) == 4
+    assert list(similar.portions(rows[:0], most)) == []
