@@ -37,8 +37,9 @@ SEED = 42
 LISTED = 16
 #: How the distance of the neighbours that are compared grows from round to round.
 WIDER = 8
-#: Texts of one shingle that a task takes at once; longer lists are cut into chunks of about so many.
-CHUNK = 512
+#: Texts of one shingle that a task takes at once; longer lists are cut into chunks of about so many. All pairs of a chunk
+#: take 270 MB at most, if none are connected.
+CHUNK = 4096
 #: Rows, or pairs, that a task works on at once.
 PORTION = 1 << 18
 #: One text in so many is in the sample; a shingle of so many of its texts is common, the most common ones count.
@@ -228,7 +229,7 @@ def similar_rows(docs: DataFrame, shingle: int, least: float, id_col: str, text_
     def widened(low: int, high: int):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             whole = [b for b in batches if len(b)]
-            for rows in portions(pd.concat(whole), 16 * chunk) if whole else ():
+            for rows in portions(pd.concat(whole), chunk) if whole else ():
                 a, b, left = wider_pairs(rows, least, low, high)
                 yield pd.DataFrame({"a": a, "b": b, "more": False})
                 if left:
