@@ -1,6 +1,8 @@
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from keyfold.operators import vector
 
@@ -66,3 +68,23 @@ def test_validation(spark, dim, text, reply):
 def test_latest_and_parse(spark):
     rows = spark.createDataFrame([("q", "old", 1), ("q", "new", 2)], "question string, answer string, seq long")
     assert [tuple(r) for r in vector.latest(rows).select("question", "answer").collect()] == [("q", "new")]
+
+
+def test_lsh_sends_no_pairs_and_no_copies_for_tables(spark):
+    """The plan neither explodes vectors by table nor joins, and blocks of any size find what all pairs compared give."""
+    rng = np.random.default_rng(5)
+    rows = [(f"q{i}", f"a{i}", v.tolist()) for i, v in enumerate(rng.standard_normal((300, 8)))] + [("odd", "x", [float("nan")] * 8), ("short", "y", [1.0, 2.0]), ("q1", "again", [1.0] * 8)]
+    stored = vector.stored(spark.createDataFrame(rows, "question string, answer string, vector array<float>"))
+    queries = spark.createDataFrame([(i, rows[i][2]) for i in range(0, 300, 20)] + [(900, [0.0] * 8), (901, None)], "query_id int, q array<float>")
+    exact = {(r.query_id, r.question, r.answer) for i, q in ((i, rows[i][2]) for i in range(0, 300, 20)) for r in vector.search(stored, np.float32(q).tolist(), None, 0.3).withColumn("query_id", F.lit(i)).collect()}
+    assert len(exact) > 300 and (0, "odd", "x") in exact
+    for block, chunk in ((65_536, 32_768), (4, 50)):
+        found = vector._near(stored, queries, 8, 0.3, vector.LSH_TABLES, vector.LSH_WIDTH, block, chunk).collect()
+        keys = [(r.query_id, r.question, r.answer) for r in found]
+        assert len(keys) == len(set(keys)) and set(keys) <= exact and len(keys) >= 0.9 * len(exact)
+        assert vector.count_reaching(stored, queries, 0.3, block=block, chunk=chunk).first().n == len(exact)
+        assert vector.count_reaching(stored, queries, 0.3, vector.LSH_TABLES, block=block, chunk=chunk).first().n == len(keys)
+    assert len(vector._near(stored, queries, 8, 0.3, 2, 0.1).collect()) < 0.9 * len(exact)  # narrow buckets lose pairs
+    plan = vector.search_lsh_many(stored, queries, 8, 0.3)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "hashes" not in plan
+    assert vector.count_reaching(stored.limit(0), queries, 0.3).first().n == 0
