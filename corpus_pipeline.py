@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from keyfold.llm import bpe, decontaminate, line_dedup, simhash, toxicity
 from keyfold.llm.shared import written
 
-#: Near duplicates: shingles of five words; every pair of a Jaccard similarity of 0.8 or more counts.
-SHINGLE, LEAST = 5, 0.8
+#: Near duplicates: shingles of five words; every pair of a Jaccard similarity of 0.8 or more counts, those of fingerprints within 7 bits are tried first.
+SHINGLE, LEAST, BUDGET = 5, 0.8, 7
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +26,7 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest id stays."""
-    return simhash.keep_one(docs, SHINGLE, LEAST)
+    return simhash.keep_one(docs, SHINGLE, LEAST, budget=BUDGET)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+import corpus_pipeline
 from keyfold.llm import similar, simhash
 from keyfold.llm.shared import written
 from tests.llm.test_tables import Union, docs, near_texts, plain_print, plain_similarity
@@ -107,3 +108,32 @@ def test_crossing_meets_every_pair_and_portions_keep_lists_whole(most):
     parts = list(similar.portions(rows, most))
     assert sum(map(len, parts)) == 60 and sum(p["token"].nunique() for p in parts) == 4
     assert list(similar.portions(rows[:0], most)) == []
+
+
+def test_the_stage_goes_through_the_tries_and_the_set_join_does_the_rest(spark, monkeypatch):
+    texts = copies()
+    tables = []
+    monkeypatch.setattr(similar, "written", lambda df, name: tables.append((name, written(df, name))) or tables[-1][1])
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs(spark, list(enumerate(texts))), "").collect()}
+    node = [similar.node_of(t)[1] for t in texts]
+    words, prints = dict(zip(node, texts)), dict(zip(node, (plain_print(t, 5) for t in texts)))
+    apart = lambda a, b: (prints[a] ^ prints[b]).bit_count()
+    close, alike, proposed, first = Union(), Union(), Union(), Union()
+    for i in range(len(texts)):
+        for j in range(i):
+            if apart(node[i], node[j]) <= 7:
+                close.join(node[i], node[j])
+            if plain_similarity(texts[i], texts[j]) >= 0.8:
+                alike.join(i, j)
+    assert kept == {alike.find(i) for i in range(len(texts))}
+    names = [name for name, _ in tables]
+    assert names.index("near") < names.index("passed") < names.index("found")
+    near = [(r.a, r.b) for r in dict(tables)["near"].collect()]
+    assert len(near) > 20 and all(apart(a, b) <= 7 for a, b in near)
+    for a, b in near:
+        proposed.join(a, b)
+        if plain_similarity(words[a], words[b]) >= 0.8:
+            first.join(a, b)
+    assert {n: close.find(n) for n in node} == {n: proposed.find(n) for n in node}  # the forests connect all within the budget
+    later = [(r.a, r.b) for name, table in tables if name == "pairs" for r in table.collect()]
+    assert later and all(first.find(a) != first.find(b) for a, b in later) and not set(later) & set(near)
