@@ -88,3 +88,41 @@ def test_lsh_sends_no_pairs_and_no_copies_for_tables(spark):
     plan = vector.search_lsh_many(stored, queries, 8, 0.3)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "hashes" not in plan
     assert vector.count_reaching(stored.limit(0), queries, 0.3).first().n == 0
+
+
+@pytest.mark.parametrize("threshold,most", [(0.3, 0.2), (0.6, 0.005), (0.9, 0.002)])
+def test_lsh_leaves_most_pairs_out(threshold, most):
+    """Candidates are few, whatever the blocks, and hold nine tenths of what all pairs compared give; only they are scored."""
+    rng = np.random.default_rng(8)
+    v = rng.standard_normal((3_000, 64))
+    v[1::3] = v[::3] + rng.standard_normal((1_000, 64)) * rng.uniform(0.2, 3, (1_000, 1))  # pairs of any nearness
+    v[-50:] = v[0]
+    q = v[::10].copy()
+    q[5], v[7] = np.nan, np.inf  # no direction: they meet all
+    q_norm, v_norm = np.sqrt((q**2).sum(1)), np.sqrt((v**2).sum(1))
+    with np.errstate(invalid="ignore"):
+        run = vector._candidates(q, q_norm, v, v_norm, threshold, vector.LSH_TABLES, vector.LSH_WIDTH)
+        pairs = {(i, j) for i, js in run(0, 300) for j in js.tolist()}
+        exact, found = ({(a, b) for i, j, _ in vector._reached(q, q_norm, v, v_norm, threshold, tables, vector.LSH_WIDTH) for a, b in zip(i.tolist(), j.tolist())} for tables in (0, vector.LSH_TABLES))
+    odd = {(5, j) for j in range(3_000)} | {(i, 7) for i in range(300)}
+    assert odd <= pairs and odd <= found
+    assert found == exact & pairs and len(found - odd) >= 0.9 * len(exact - odd) > 300
+    far = len(pairs - odd - exact) / (300 * 3_000)
+    assert far < most
+    assert sum(len(js) for _, js in run(0, 150)) + sum(len(js) for _, js in run(150, 300)) == len(pairs)
+
+
+@pytest.mark.parametrize("n", [1, 2, 64])
+@pytest.mark.parametrize("width", [0.1, 0.4, 1.5])
+def test_lsh_counts_shared_buckets(n, width):
+    """Sketches differ in as many tables as the buckets themselves do, and pairs at the threshold are found at any width."""
+    rng = np.random.default_rng(9)
+    unit = rng.standard_normal((40, n))
+    unit /= np.sqrt((unit**2).sum(1, keepdims=True))
+    lines = vector._projections(n, 100)
+    assert lines.shape == (100, n) and np.allclose((lines**2).sum(1), 1)
+    buckets, sketches = vector._buckets(unit, lines, width), vector._sketches(unit, lines, width)
+    for i in range(40):
+        assert vector._differing(sketches[:, :, i], sketches).tolist() == (buckets[:, [i]] != buckets).sum(0).tolist()
+    for threshold in (-2, -0.5, 0.3, 1, 2):
+        assert 0 <= vector._most_differing(lines, threshold, width) < 100
